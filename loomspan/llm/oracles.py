@@ -32,3 +32,22 @@ hp AS (SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(a
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN upper < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN hp USING (host, path) LEFT JOIN u USING (host)
 """
+
+# Component by reachability over all links; pairs meet on shared shingles, so it is for small tables.
+ORACLES["op7_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+sets AS (SELECT doc_id, md5(string_agg(s, '|' ORDER BY s)) AS m, count(*) AS n FROM g GROUP BY doc_id),
+reps AS (SELECT m, min(doc_id) AS rep, any_value(n) AS n FROM sets GROUP BY m),
+rg AS (SELECT g.doc_id, s FROM g JOIN reps ON g.doc_id = reps.rep),
+often AS (SELECT s FROM rg GROUP BY s HAVING count(*) > 1),
+sh AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM rg a JOIN often USING (s) JOIN rg b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM sh JOIN reps x ON x.rep = a JOIN reps y ON y.rep = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, top) AS (SELECT rep, rep FROM reps UNION SELECT e.b, r.top FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(top) AS top FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(c.top, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sets s USING (doc_id) LEFT JOIN reps ON reps.m = s.m LEFT JOIN c ON c.node = reps.rep
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secret_scan, url_filter
+from . import jaccard_join, secret_scan, url_filter
 from .common import table
 
 
@@ -12,9 +12,13 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_ngrams(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.outcomes_from_labels(table(spark, sf_dir, "labels")))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op7_ngram_jaccard, op8_url_filter)}
