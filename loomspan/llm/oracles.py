@@ -51,3 +51,17 @@ c AS (SELECT node, min(top) AS top FROM r GROUP BY node)
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(c.top, d.doc_id) AS component_id
 FROM documents d LEFT JOIN sets s USING (doc_id) LEFT JOIN reps ON reps.m = s.m LEFT JOIN c ON c.node = reps.rep
 """
+
+ORACLES["op3_decontaminate"] = r"""
+WITH d0 AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, greatest(1, len(w) - 12) + 1), lambda i: array_to_string(w[i:i+n-1], ' '))) AS s FROM (SELECT *, least(13, len(w)) AS n FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT rid, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS s FROM d0, lens WHERE len(w) >= n),
+m AS (SELECT rid, i, n, item_id FROM dw JOIN bw USING (n, s)),
+h AS (SELECT rid, count(DISTINCT p) AS k FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM m) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT rid, item_id::VARCHAR AS x FROM m) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+  coalesce(k, 0) > 0 AND 20 * coalesce(k, 0) >= len(w) AS contaminated
+FROM d0 LEFT JOIN h USING (rid) LEFT JOIN it USING (rid)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, secret_scan, url_filter
+from . import decontaminate, jaccard_join, packing, secret_scan, url_filter
 from .common import table
 
 
@@ -12,6 +12,16 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.match_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken"), public.PATTERN))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_ngrams(table(spark, sf_dir, "documents"))
 
@@ -21,4 +31,4 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op7_ngram_jaccard, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_decontaminate, op6_harmonic_packing, op7_ngram_jaccard, op8_url_filter)}
