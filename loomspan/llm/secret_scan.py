@@ -14,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import checkpoint, numbered
 
 VALUE = r"[A-Za-z0-9+/_.=-]"
 #: kind -> (pattern, group that is measured, least length). The order of kinds breaks ties. Fixed values for the first three.
 KINDS: dict[str, tuple[str, int, int]] = {
     "assign": (rf"(?i:(?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?({VALUE}+)", 1, 12),
-    "access": (r"(AKIA[A-Z0-9]+)", 1, 18),
-    "hex": (r"([0-9a-f]+)", 1, 16),
+    "access": (r"(AKIA[A-Z0-9]{14,})", 1, 18),
+    "hex": (r"([0-9a-f]{16,})", 1, 16),  # a run is never split, so shorter ones needn't be matched
     "weak_id": (r"((?:ASIA|AROA|AIDA)[A-Z0-9]{12,}|(?i:client_?id|access_?key_?id|account_?(?:id|name))[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,})", 1, 4),
     "weak_secret": (r"((?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,}={0,2})", 1, 32),
     "endpoint": (r"((?:https?|wss?|postgres(?:ql)?|mysql|redis|mongodb|amqps?)://[^\s\"'<>]+)", 1, 8),
@@ -73,10 +73,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: doc_id and spans array<struct<start, order, end, kind>>, sorted by start, then kind as listed.
 
     Null or empty text has no spans. Repeated rows and repeated or null ids stay apart: rows are told by number. Any other column
-    of docs is left out. docs must be a scan (see numbered()).
+    of docs is left out.
     """
     rows = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    spans = find_spans(rows.select("_rid", "text"))
+    spans = checkpoint(find_spans(rows.select("_rid", "text")))  # a few rows; three uses follow
     reported = spans.where(F.col("kind") < len(BASE)).unionByName(link_parts(spans, scope))
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
     by_row = reported.groupBy("_rid").agg(F.array_sort(F.collect_list(F.struct("start", F.col("kind").alias("order"), "end", name.alias("kind")))).alias("spans"))
