@@ -17,10 +17,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered
+from .common import checkpoint, numbered, small
 from .wordhash import ALNUM, grams, slices, utf8, words
 
 BLOCK_BYTES = 4 << 20
@@ -177,7 +177,7 @@ def blocks_of(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None
 
 
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, spans array<struct<start, end>>, items array<string>) for each row of docs.
+    """(_rid, doc_id, n_words, spans array<struct<start, end>>, items array<string>) for each row of docs; _rid is its numbered() one.
 
     Words are runs of 0-9, a-z and non-ASCII characters after A-Z are lower-cased; spans are merged word intervals, end
     exclusive, inside occurrences of item windows; items are the distinct item_ids (as strings, sorted, null last) with one.
@@ -197,7 +197,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, k:
         parts.append(rows.select("_rid", "doc_id", "text").mapInArrow(_match(block, probes_of(block, k, counts)), f"_rid long, doc_id {kind}, n_words long, starts array<long>, ends array<long>, items array<string>"))
     if len(parts) == 1:
         spans = F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct(x["starts"].alias("start"), x["ends"].alias("end")))
-        return parts[0].select("doc_id", "n_words", spans.alias("spans"), "items")
+        return parts[0].select("_rid", "doc_id", "n_words", spans.alias("spans"), "items")
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
@@ -210,11 +210,27 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, k:
         return F.struct(
             F.when(joins, acc["done"]).otherwise(closed(acc)).alias("done"),
             F.struct(F.when(joins, acc["open"]["start"]).otherwise(x["starts"]).alias("start"), F.when(joins, F.greatest(acc["open"]["end"], x["ends"])).otherwise(x["ends"]).alias("end")).alias("open"))
-    return every.select("doc_id", "n_words", F.aggregate(F.array_sort("x"), zero, step, closed).alias("spans"), "items")
+    return every.select("_rid", "doc_id", "n_words", F.aggregate(F.array_sort("x"), zero, step, closed).alias("spans"), "items")
+
+
+def n_hit() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+
+
+def is_contaminated() -> Column:
+    """A twentieth of the words is hit."""
+    return (n_hit() > 0) & (n_hit() * 20 >= F.col("n_words"))
 
 
 def digest(matched: DataFrame) -> DataFrame:
-    """The columns of the query, from match_benchmark(): contaminated if a twentieth of the words is hit."""
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+    """The columns of the query, from match_benchmark()."""
     named = F.array_join(F.filter("items", lambda x: x.isNotNull()), ",")
-    return matched.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+    return matched.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs without the contaminated rows, as match_benchmark() and digest() have them."""
+    docs = numbered(docs)
+    matched = match_benchmark(docs.drop("_rid"), benchmark, **options)
+    gone, _ = small(checkpoint(matched.where(is_contaminated()).select("_rid")))
+    return docs.join(gone, "_rid", "left_anti").drop("_rid")
