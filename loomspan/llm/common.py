@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +18,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a temporary folder where none is set, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the cluster's shared folder; a temporary one serves where none is set, as in tests."""
+    """Cuts lineage with a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    shared_folder(df.sparkSession)
+    done = df.checkpoint(eager=True)
+    del df
+    gc.collect()  # the plans behind it are garbage now; once the JVM sees that, Spark deletes their shuffle files
+    sc._jvm.System.gc()
+    return done
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -30,10 +49,27 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if fits else df), fits
 
 
+def first_by_hash(df: DataFrame, key: str, most: int, *ties: str) -> DataFrame:
+    """At most `most` rows, the first by a hash of the key, so a fixed pseudo-random sample. Rows beyond about half again as many are
+    left out by their hash where they are read: what meets in one place has the sample's size, not the number of tasks times it."""
+    n = df.count()
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    if n > 2 * most:
+        df = df.where(h < int((1 << 40) * (1.5 * most + 100) / n))
+    return df.orderBy(h, key, *ties).limit(most)
+
+
+#: Plan nodes that give the same rows in the same order each time and for any choice of columns.
+_STEADY = {"Project", "Filter", "Relation", "RelationV2", "LocalRelation", "LogicalRDD", "OneRowRelation"}
+
+
 def numbered(df: DataFrame, name: str = "_rid") -> DataFrame:
-    """A number for each row. It depends only on the split and the place in it, so scans of one table agree and a lost task
-    numbers its rows alike again. The input must be such a scan (files, a table or a checkpoint)."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """A number for each row. It depends only on the split and the place in it, so all scans of a table agree and a lost task
+    numbers its rows alike again. What is not such a scan (files, local rows, a checkpoint, projected or filtered) is made a
+    checkpoint first."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+\-]*(\w+)", line))}
+    return (df if nodes <= _STEADY else checkpoint(df)).withColumn(name, F.monotonically_increasing_id())
 
 
 def ascii_lower(text: Column) -> Column:
