@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, numbered
+from .common import checkpoint, first_by_hash, numbered
 from .wordhash import mix
 
 SAMPLE, BLOCK, PART, QUERIES = 20_000, 2048, 8192, 8192
@@ -240,7 +240,7 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, rerank: int = 100, sam
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     clusters = min(4096, max(1, round(math.sqrt(n))))
     many = min(clusters, math.ceil(4 * math.sqrt(clusters)))
-    taken = own.orderBy(F.xxhash64("vec_id"), "_rid").limit(sample).select("v").toArrow()
+    taken = first_by_hash(own, "vec_id", sample, "_rid").select("v").toArrow()
     model = Quantiser(vectors(taken.column(0).combine_chunks(), size), clusters)
     index = checkpoint(own.mapInArrow(_index(model, size), "_rid long, vec_id long, v array<float>, cluster long, codes binary"))
     blocks = np.ones(clusters, np.int64)

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import first_by_hash
 from .wordhash import slices, utf8
 
 WIDTH = 64
@@ -159,8 +160,10 @@ def train(docs: DataFrame, most_rows: int = 3000, steps: int = 500) -> BiGRU | N
     200 characters from places all over the text. None if no row has a language and a text."""
     length = F.length("text")
     at = [F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(length - 199, F.lit(1))) + 1).cast("int"), F.lit(200)) for i in range(3)]
-    known = docs.where(F.col("lang").isNotNull() & (length > 0)).select("lang", F.array(*at).alias("x"), F.xxhash64("doc_id").alias("h"), "doc_id")
-    sample = known.orderBy("h", "doc_id", "lang", "x").limit(most_rows).select("lang", "x").collect()
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
+    ids = F.broadcast(first_by_hash(known.select("doc_id"), "doc_id", most_rows))  # at most so many ids
+    rows = known.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sample = rows.orderBy("doc_id").select("lang", F.array(*at).alias("x")).collect()
     if not sample:
         return None
     model = BiGRU(sorted({r.lang for r in sample}))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import first_by_hash
 from .wordhash import ALNUM, row_bounds, slices, utf8, words
 
 VOCABULARY, SOURCES, LANGS = 600, 64, 16
@@ -171,10 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Model:
     Null ids and labels are left out; of repeated labels of an id the least counts. With no label, or one class only, the model
     scores every row with the smoothed share of good labels (1 without any)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("good").isNotNull())
-    first = F.xxhash64("doc_id")
-    told = known.groupBy("doc_id").agg(F.min("good").alias("good")).orderBy(first, "doc_id").limit(most)
-    some = docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(first, "doc_id").limit(2 * most).distinct()
-    free = some.join(known.join(F.broadcast(some), "doc_id", "left_semi").select("doc_id").distinct(), "doc_id", "left_anti").orderBy(first, "doc_id").limit(most)
+    told = first_by_hash(known.groupBy("doc_id").agg(F.min("good").alias("good")), "doc_id", most)
+    some = first_by_hash(docs.where(F.col("doc_id").isNotNull()).select("doc_id"), "doc_id", 2 * most).distinct()
+    free = some.join(known.join(F.broadcast(some), "doc_id", "left_semi").select("doc_id").distinct(), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     picked = told.union(free.select("doc_id", F.lit(None).cast("int")))  # at most 2 * most ids
     rows = docs.join(F.broadcast(picked), "doc_id").select("text", "source", "lang", F.col("n_chars").cast("long"), F.col("good").cast("long"), "doc_id")
     rows = rows.dropDuplicates(["doc_id"]).drop("doc_id")
