@@ -46,7 +46,7 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     Blank lines and those that begin with # are passed over. A line that isn't JSON, lacks text or holds an unknown type or level fails
     the query and names its place. Missing ids are doc_ and 16 hex digits of the text's sha256.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     lines = raw.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).withColumn("value", F.trim("value")).where((F.col("value") != "") & ~F.col("value").startswith("#"))
     parsed = lines.withColumn("d", F.from_json("value", DOCUMENT, {"mode": "PERMISSIVE"}))
     place = F.concat(F.col("file"), F.lit(":"), (F.col("line") + 1).cast("string"))

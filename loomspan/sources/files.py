@@ -48,7 +48,7 @@ def html_text(html: Column) -> Column:
 
 def load_any(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of the files at a path, by their suffix. PDF and EPUB need libraries that aren't here; other suffixes are refused."""
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     suffix = F.lower(F.regexp_extract("file", r"(\.[^./]*)$", 1))
     seen = {r[0] for r in files.select(suffix).distinct().collect()}
     for s in sorted(seen - set(TEXT) - set(HTML)):
