@@ -65,3 +65,33 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_hit, coale
   coalesce(k, 0) > 0 AND 20 * coalesce(k, 0) >= len(w) AS contaminated
 FROM d0 LEFT JOIN h USING (rid) LEFT JOIN it USING (rid)
 """
+
+_VALUE = "[A-Za-z0-9+/_.=-]"
+_SECRETS = (
+    ("assign", rf"(?i:password|passwd|secret|token|api_?key)[\"'']?\x20*[:=]\x20*[\"'']?({_VALUE}+)", 12),
+    ("access", r"(AKIA[A-Z0-9]+)", 18),
+    ("hex", r"([0-9a-f]+)", 16),
+    ("weak_id", r"((?:ASIA|AROA|AIDA)[A-Z0-9]{12,}|(?i:client_?id|access_?key_?id|account_?(?:id|name))[\"'']?\x20*[:=]\x20*[\"'']?[A-Za-z0-9_.@-]{4,})", 4),
+    ("weak_secret", r"([A-Za-z0-9+/]{32,}={0,2})", 32),
+    ("endpoint", r"((?:https?|wss?|postgres(?:ql)?|mysql|redis|mongodb|amqps?)://[^\s\"''<>]+)", 8),
+)
+_FOUND = " UNION ALL ".join(
+    rf"SELECT rid, {i} AS kind, unnest(range(1, len(g) + 1)) AS n, unnest(g) AS gap, unnest(m) AS m, unnest(v) AS v FROM (SELECT rid, regexp_extract_all(t, '{s}', 1) AS g, regexp_extract_all(t, '{s}', 2) AS m, regexp_extract_all(t, '{s}', 3) AS v FROM d)"
+    for i, (_, p, _) in enumerate(_SECRETS) for s in [rf"(?s)(.*?)(?:({p})|\z)"])
+ORACLES["op2_secret_scan"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({_FOUND}),
+p AS (SELECT rid, kind, m, v, sum(length(gap) + length(m)) OVER (PARTITION BY rid, kind ORDER BY n) AS e FROM f),
+c AS (SELECT rid, kind, e - length(m) AS s, e FROM p WHERE m <> '' AND length(v) >= ([{', '.join(str(n) for _, _, n in _SECRETS)}])[kind + 1]
+  AND (kind <> 4 OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')))),
+k AS (SELECT w.rid, w.kind, w.s, w.e, bool_or(x.kind < 3 AND x.s < w.e AND w.s < x.e) AS taken,
+    bool_or(x.kind IN (1, 3) AND NOT (x.s < w.e AND w.s < x.e)) AS has_id, bool_or(x.kind IN (0, 2, 4) AND NOT (x.s < w.e AND w.s < x.e)) AS has_secret
+  FROM c w JOIN c x ON x.rid = w.rid AND x.kind <> 5 AND x.s - 256 < w.e AND w.s < x.e + 256 WHERE w.kind >= 3 GROUP BY ALL),
+r AS (SELECT rid, kind, s, e FROM c WHERE kind < 3 UNION ALL
+  SELECT rid, kind, s, e FROM k WHERE NOT taken AND CASE kind WHEN 4 THEN has_id WHEN 3 THEN has_secret ELSE has_id AND has_secret END),
+z AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+    string_agg(x, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(x, ',' ORDER BY s, kind, e) AS spans
+  FROM (SELECT *, (['{"', '".join(n for n, _, _ in _SECRETS)}'])[kind + 1] || ':' || s::BIGINT || ':' || e::BIGINT AS x FROM r) GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN z USING (rid)
+"""
