@@ -3,9 +3,12 @@
 Rows fall to the nearest of about sqrt(n) coarse centroids. What a centroid leaves is quantised in two-dimensional subspaces with
 16 codewords each, under a score-aware loss: error parallel to the vector costs `eta` times as much as error across it, since
 only that moves the large inner products. Codes are chosen by coordinate descent and codewords by least squares under the same
-loss. A query's tables of 16 products a subspace, joined in pairs to 256, score a cluster's rows by look-ups; the best are
+loss. A query's tables of 16 products a subspace, joined in pairs to 256, score a cluster's rows by look-ups; the best of a part are
 reranked by exact inner products in double precision.
 
+How many clusters a query visits is found on the sample: enough for 98 of 100 true neighbours there. Where vectors fall
+into clusters that is few of them; where they don't, as good as all, and the search is a table scan in blocks.
+
 Centroids and codewords are fitted on a bounded sample (20,000 rows, the first by a hash of the id); every row is indexed. Rows are dealt by
 (cluster, block) to parts of bounded size, so a cluster that holds a third of all rows is spread out; a query visits each part that
 holds one of its clusters once. The driver gets the sample and the clusters' sizes.
@@ -178,6 +181,31 @@ def _route(model: Quantiser, size: int, blocks: np.ndarray, parts: int, copies:
     return run
 
 
+def largest(s: np.ndarray, r: int) -> np.ndarray:
+    """Places of the r largest of each row; of equal ones the first, so that copies are taken in order of their ids."""
+    if s.shape[1] <= r:
+        return np.broadcast_to(np.arange(s.shape[1]), s.shape)
+    top = np.argpartition(-s, r - 1, 1)[:, :r]
+    least = np.take_along_axis(s, top, 1).min(1, keepdims=True)
+    for i in np.flatnonzero((s >= least).sum(1) > r):
+        top[i] = np.argsort(-s[i], kind="stable")[:r]
+    return top
+
+
+def probes_needed(model: Quantiser, x: np.ndarray, k: int, share: float, most: int = 300) -> int:
+    """How many clusters a query must visit so that, among the sample's rows, that share of true neighbours lies in them."""
+    q = x[:most]
+    near = model.padded(q) @ model.padded(x).T
+    near[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return 1
+    top = np.argpartition(-near, k - 1, 1)[:, :k]
+    order = np.argsort(model.probes(q, len(model.coarse)), 1)
+    place = np.take_along_axis(order, nearest(model.padded(x), model.coarse)[top], 1)
+    return int(np.quantile(place, share)) + 1
+
+
 def _search(model: Quantiser, size: int, k: int, rerank: int):
     """The best k rows of a part for each of its queries."""
     def run(key: tuple, index: pa.Table, queries: pa.Table) -> pa.Table:
@@ -193,23 +221,26 @@ def _search(model: Quantiser, size: int, k: int, rerank: int):
             lists = col(queries, "clusters")
             asks = np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
             asked = lists.flatten().to_numpy()
-            order = np.argsort(asked, kind="stable")
-            asks, asked = asks[order], asked[order]
-            for c in np.unique(cluster).tolist():
-                own = slice(*np.searchsorted(cluster, [c, c + 1]))
-                who = asks[slice(*np.searchsorted(asked, [c, c + 1]))]
-                for at in range(0, len(who), 128):
-                    w = who[at : at + 128]
-                    table = model.tables(q[w])
-                    s = np.zeros((len(w), own.stop - own.start), f32)
-                    for j in range(len(table)):
-                        s += table[j][:, codes[own, j]]
-                    s[rid[own] == q_rid[w][:, None]] = -np.inf
-                    top = np.argsort(-s, 1, kind="stable")[:, : rerank + 1]
-                    exact = np.einsum("qrd,qd->qr", x[own][top].astype(np.float64), q[w].astype(np.float64))
-                    exact[np.take_along_axis(s, top, 1) == -np.inf] = -np.inf
-                    best = np.lexsort((ids[own][top], -exact), axis=1)[:, :k]
-                    found.append((np.repeat(w, best.shape[1]), ids[own][np.take_along_axis(top, best, 1)].ravel(), np.take_along_axis(exact, best, 1).ravel()))
+            held = np.unique(cluster)
+            edges = np.searchsorted(cluster, np.r_[held, held[-1] + 1])
+            for at in range(0, len(q), 128):
+                mine = slice(*np.searchsorted(asks, [at, at + 128]))
+                who, which = asks[mine] - at, asked[mine]
+                table, coarse = model.tables(q[at : at + 128]), model.padded(q[at : at + 128]) @ model.coarse.T
+                s = np.full((len(coarse), len(ids)), -np.inf, f32)
+                for c, i, j in zip(held.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    w = who[which == c]
+                    if len(w):
+                        own = np.repeat(coarse[w, c][:, None], j - i, 1)
+                        for m in range(len(table)):
+                            own += table[m][w][:, codes[i:j, m]]
+                        s[w, i:j] = own
+                s[rid == q_rid[at : at + 128][:, None]] = -np.inf
+                top = largest(s, rerank)
+                exact = np.einsum("qrd,qd->qr", x[top].astype(np.float64), q[at : at + 128].astype(np.float64))
+                exact[np.take_along_axis(s, top, 1) == -np.inf] = -np.inf
+                best = np.lexsort((ids[top], -exact), axis=1)[:, :k]
+                found.append((np.repeat(np.arange(at, at + len(s)), best.shape[1]), ids[np.take_along_axis(top, best, 1)].ravel(), np.take_along_axis(exact, best, 1).ravel()))
         w, i, s = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         order = np.lexsort((i, -s, w))
         w, i, s = w[order], i[order], s[order]
@@ -220,7 +251,7 @@ def _search(model: Quantiser, size: int, k: int, rerank: int):
     return run
 
 
-def search(rows: DataFrame, every: int = 20, k: int = 20, rerank: int = 100, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(rows: DataFrame, every: int = 20, k: int = 20, rerank: int = 400, share: float = 0.98, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the k rows of largest inner product found.
 
     The score is the exact inner product in double precision; ties go to the smaller id. A query's own row is no candidate, but a
@@ -239,9 +270,10 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, rerank: int = 100, sam
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     clusters = min(4096, max(1, round(math.sqrt(n))))
-    many = min(clusters, math.ceil(4 * math.sqrt(clusters)))
     taken = first_by_hash(own, "vec_id", sample, "_rid").select("v").toArrow()
-    model = Quantiser(vectors(taken.column(0).combine_chunks(), size), clusters)
+    x = vectors(taken.column(0).combine_chunks(), size)
+    model = Quantiser(x, clusters)
+    many = probes_needed(model, x, k, share)
     index = checkpoint(own.mapInArrow(_index(model, size), "_rid long, vec_id long, v array<float>, cluster long, codes binary"))
     blocks = np.ones(clusters, np.int64)
     for c, m in index.groupBy("cluster").count().collect():
