@@ -130,6 +130,12 @@ ls AS (SELECT query_id, CASE evidence_type {' '.join(f"WHEN '{k}' THEN '{v}'" fo
 VERSES = f"""asks AS (SELECT 'v' || surah AS id, n, own, ref FROM (SELECT surah, ayah, id AS own, {norm('text')} AS n, surah || ':' || ayah AS ref FROM corpus WHERE surah IS NOT NULL QUALIFY row_number() OVER (PARTITION BY surah ORDER BY ayah) = 1))"""
 VOLUMES = "vol AS (SELECT source_id AS volume, doc_id, id, CASE WHEN regexp_extract(source_id, '(\\d+)', 1)::INT % 2 = 0 THEN doc_id ELSE length(text) END AS number FROM corpus)"
 
+REFERENCE = f"""CASE WHEN evidence_type = 'quran' AND surah IS NOT NULL AND ayah IS NOT NULL THEN 'Qur''an ' || surah || ':' || ayah
+  ELSE concat_ws(', ', source_id, CASE WHEN {g('volume')} THEN 'v' || volume END, CASE WHEN {g('page')} THEN 'p.' || page END, CASE WHEN {g('hadith_number')} THEN 'h.' || hadith_number END, CASE WHEN {g('chapter')} THEN 'ch.' || chapter END) END"""
+MERGED = f"""parts AS (SELECT 'q' || item_id AS query_id, item_id // 3 AS question_id FROM benchmark), many AS (SELECT question_id, count(*) AS k FROM parts GROUP BY 1),
+b AS (SELECT question_id, id, max(score) AS score FROM found JOIN parts USING (query_id) WHERE similarity >= 0.15 GROUP BY 1, 2),
+mp AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::INT AS rank, id, score FROM b JOIN many USING (question_id) QUALIFY rank <= CASE WHEN k = 1 THEN 6 ELSE greatest(6, 3 * k) END)"""
+
 ORACLES: dict[str, str] = {
     "normalize_text": f"WITH {CORPUS}, {NORMAL} SELECT id, length(n)::BIGINT AS n_chars, md5(n) AS digest FROM normal",
     "token_counts": f"WITH {CORPUS}, {NORMAL}, t AS (SELECT id, list_filter(string_split(n, ' '), lambda x: x <> '') AS t FROM normal) SELECT id, len(t)::BIGINT AS n, len(list_distinct(t))::BIGINT AS n_distinct FROM t",
@@ -148,9 +154,13 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY similarity DE
     "retrieve_filtered_exact": f"WITH {sims()}, {retrieve(5, FILTER)} {FOUND}",
     "consensus_by_source": f"WITH {sims()}, {retrieve(8, breadth=32, compat=True)} SELECT query_id, source_id, count(*) AS n, round(max(similarity), 6) AS best FROM found WHERE similarity >= 0.15 GROUP BY 1, 2",
     "compare_sources": f"WITH {sims()}, s AS (SELECT query_id, source_id, id, round(similarity + {BONUS}, 9) AS score FROM sims JOIN corpus USING (id) WHERE similarity >= 0.15 AND {RANK} >= 1) SELECT query_id, source_id, row_number() OVER (PARTITION BY query_id, source_id ORDER BY score DESC, id)::INT AS rank, id, round(score, 6) AS score FROM s QUALIFY rank <= 4",
-    "multi_part_merge": f"""WITH {sims()}, {retrieve(6, f"{RANK} >= 1", compat=True)}, parts AS (SELECT 'q' || item_id AS query_id, item_id // 3 AS question_id FROM benchmark), many AS (SELECT question_id, count(*) AS k FROM parts GROUP BY 1),
-b AS (SELECT question_id, id, max(score) AS score FROM found JOIN parts USING (query_id) WHERE similarity >= 0.15 GROUP BY 1, 2)
-SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::INT AS rank, id, round(score, 6) AS score FROM b JOIN many USING (question_id) QUALIFY rank <= CASE WHEN k = 1 THEN 6 ELSE greatest(6, 3 * k) END""",
+    "multi_part_merge": f"""WITH {sims()}, {retrieve(6, f"{RANK} >= 1", compat=True)}, {MERGED} SELECT question_id, rank, id, round(score, 6) AS score FROM mp""",
+    "extractive_answers": f"""WITH {sims()}, {retrieve(6, f"{RANK} >= 1", compat=True)}, {MERGED},
+qs AS (SELECT item_id // 3 AS question_id, string_agg(text, ' ' ORDER BY item_id) AS text FROM benchmark GROUP BY 1),
+ql AS (SELECT question_id, {LANG} AS lang_ FROM (SELECT *, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l, length(text) - length(regexp_replace(text, '{X.ARABIC_SCRIPT}', '', 'g')) AS a FROM qs)),
+ac AS (SELECT question_id, rank, id, confidence, {REFERENCE} AS ref, CASE WHEN length(text) > 240 THEN rtrim(substr(text, 1, 240)) || '…' ELSE text END || ' [' || rank || ']' AS said FROM mp JOIN corpus USING (id))
+SELECT question_id, any_value(lang_) AS language, count(id) AS n_claims, arg_min(ref, rank) AS first, md5(coalesce(string_agg(said, ' ' ORDER BY rank) FILTER (rank <= 3), '')) AS summary,
+  ((count(id) = 0)::INT + coalesce(bool_or(confidence IN ('low', 'unverified')), FALSE)::INT + (any_value(lang_) IN ('fa', 'ur'))::INT)::BIGINT AS n_caveats FROM ql LEFT JOIN ac USING (question_id) GROUP BY question_id""",
     "lecture_sections": f"WITH {sims()}, {LECTURE} SELECT query_id, section, rank, id, round(score, 6) AS score FROM ls",
     "lecture_pool": f"WITH {sims()}, {LECTURE}, o AS (SELECT query_id, id, max(score) AS score FROM ls GROUP BY 1, 2) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, id, round(score, 6) AS score FROM o QUALIFY rank <= 8",
     "crossref_links": f"""WITH {sims(VERSES)}, c1 AS (SELECT query_id, evidence_type, id, text, similarity, round(similarity + {BONUS}, 9) AS score FROM sims JOIN corpus USING (id) WHERE evidence_type IN ('tafsir', 'hadith', 'quran') QUALIFY row_number() OVER (PARTITION BY query_id, evidence_type ORDER BY similarity DESC, id) <= 375),
@@ -160,8 +170,7 @@ c4 AS (SELECT *, {content('n')} AS vc, {content(norm('text'))} AS tc FROM c3),
 c5 AS (SELECT *, CASE WHEN contains(text, ref) OR CASE WHEN len(vc) = 0 THEN 1.0 ELSE {common('vc', 'tc')}::DOUBLE / len(vc) END >= 0.5 THEN 'explicit' ELSE 'thematic' END AS link_type FROM c4)
 SELECT query_id, evidence_type AS section, row_number() OVER (PARTITION BY query_id, evidence_type ORDER BY link_type, similarity DESC, id)::INT AS rank, id, link_type, round(similarity, 6) AS similarity FROM c5""",
     "citation_completeness": f"WITH {CORPUS}, x AS (SELECT *, {COMPLETE} AS complete FROM corpus) SELECT id, evidence_type, complete, complete AND {RANK} >= 2 AS as_fact FROM x",
-    "reference_string": f"""WITH {CORPUS} SELECT id, CASE WHEN evidence_type = 'quran' AND surah IS NOT NULL AND ayah IS NOT NULL THEN 'Qur''an ' || surah || ':' || ayah
-  ELSE concat_ws(', ', source_id, CASE WHEN {g('volume')} THEN 'v' || volume END, CASE WHEN {g('page')} THEN 'p.' || page END, CASE WHEN {g('hadith_number')} THEN 'h.' || hadith_number END, CASE WHEN {g('chapter')} THEN 'ch.' || chapter END) END AS reference FROM corpus""",
+    "reference_string": f"WITH {CORPUS} SELECT id, {REFERENCE} AS reference FROM corpus",
     "unknown_sources": f"WITH {CORPUS}, {REGISTRY} SELECT source_id, count(*) AS n FROM corpus WHERE source_id NOT IN (SELECT source_id FROM registry) GROUP BY 1",
     "passage_exists": f"WITH {CORPUS}, {CITED}, {EXISTS} SELECT cid, found FROM pe",
     "validate_citations": f"WITH {CORPUS}, {CITED}, {EXISTS}, {REGISTRY}, v AS (SELECT *, {COMPLETE} AS complete, source_id IN (SELECT source_id FROM registry) AS source_known FROM pe) SELECT cid, complete, source_known, found, ((NOT complete)::INT + (NOT source_known)::INT + coalesce((NOT found)::INT, 0))::BIGINT AS n_problems FROM v",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import text as X
-from ..operators import corpus_ops, evaluation, grounding, narrators, retrieval
+from ..operators import answers, corpus_ops, evaluation, grounding, narrators, retrieval
 from ..sources.corpus import bind, registry, source_number, table
 from ..sources.files import html_text
 
@@ -116,6 +116,23 @@ def multi_part_merge(spark, sf_dir):
     return _six(retrieval.merge_parts(found, parts))
 
 
+def extractive_answers(spark, sf_dir):
+    """Three benchmark texts make a question of three parts."""
+    b = table(spark, sf_dir, "benchmark").withColumn("question_id", F.floor(F.col("item_id") / 3))
+    parts = b.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), "question_id")
+    asked = b.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), " ").alias("question"))
+    corpus = bind(spark, sf_dir)
+    found = retrieval.retrieve(_sims(spark, sf_dir), corpus, k=6, least="low", compat=True)
+    out = answers.answers(found, parts, corpus.withColumn("reference", C.reference(F.col)), asked)
+    return out.select("question_id", "language", F.size("claims").cast("long").alias("n_claims"), F.get("claims", F.lit(0))["reference"].alias("first"), F.md5("summary").alias("summary"), F.size("caveats").cast("long").alias("n_caveats"))
+
+
+def question_parts(spark, sf_dir):
+    """What the users of the conversations ask, in parts."""
+    t = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.posexplode(answers.decomposer()(F.coalesce("text", F.lit("")))).alias("part", "question"))
+    return t.select("conv_id", "turn", "part", F.md5("question").alias("digest"))
+
+
 def lecture_sections(spark, sf_dir):
     return _six(retrieval.lecture_sections(_sims(spark, sf_dir), bind(spark, sf_dir)))
 
@@ -349,7 +366,7 @@ def trusted_volumes(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     normalize_text, token_counts, char_trigram_counts, feature_hash_buckets, idf_table, tfidf_topk, hashing_topk, dense_topk, confidence_rerank, retrieve_filtered_compat, retrieve_filtered_exact,
-    consensus_by_source, compare_sources, multi_part_merge, lecture_sections, lecture_pool, crossref_links, citation_completeness, reference_string, unknown_sources, passage_exists, validate_citations,
+    consensus_by_source, compare_sources, multi_part_merge, extractive_answers, question_parts, lecture_sections, lecture_pool, crossref_links, citation_completeness, reference_string, unknown_sources, passage_exists, validate_citations,
     source_coverage, claim_overlap, content_overlap, answer_grounding, hallucination_rate, verify_markers, verify_synthesis, detect_language, language_mix, dedupe_documents, near_duplicate_keys,
     chunk_text, facets, source_types, top_narrators, narrator_lookup, narrator_profile, grade_summary, source_score, review_queue, manifest_status, iteration_deltas, gold_metrics, mrr, export_parts,
     page_text, isolated_numbers, increasing_refs, page_fill, trusted_volumes)}
