@@ -20,23 +20,22 @@ from .common import checkpoint, small
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, comp) for each id of edges(a, b): the least id of its connected component.
 
-    Alternating large and small stars; each round is two aggregations and two equi-joins, and only a count and a checksum reach
-    the driver. Null ends are left out, loops and repeated edges do no harm.
+    Alternating large and small stars; each round is three aggregations and two equi-joins, and only whether it was the last
+    reaches the driver. Null ends are left out, loops and repeated edges do no harm.
     """
     e = checkpoint(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    mark = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-    last = mark(e)
-    for _ in range(rounds if last[0] else 0):
+    for _ in range(rounds):
+        ends = e.select(F.col("hi").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("lo", F.lit(0), F.lit(1)))
+        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
+            break  # stars alone: each end points to one centre, and no centre points on
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo"), F.col("hi")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = checkpoint(small.union(down.select("hi", "m")).distinct())
-        now = mark(e)
-        if tuple(now) == tuple(last):
-            break
-        last = now
+        small_ = large.join(down, "hi").where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        e = checkpoint(small_.union(down.select("hi", "m")).distinct())
+    else:
+        raise RuntimeError("components didn't settle")
     return e.select(F.col("hi").alias("id"), F.col("lo").alias("comp")).union(e.select(F.col("lo"), F.col("lo")).distinct())
 
 
@@ -69,8 +68,10 @@ def linked_groups(postings: DataFrame, attrs: list[str], fits: Callable[[Callabl
 
     of_id, _ = small(checkpoint(groups))
     marked = postings.join(of_id, "id", "left").withColumn("comp", F.coalesce("comp", "id")).select("key", *cols, "comp")
-    tally = marked.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("kinds > 1")
-    mixed = checkpoint(marked.join(tally.select("key", "main"), "key"))
+    split = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    mixed = checkpoint(marked.join(split.hint("shuffle_hash"), "key"))  # the keys that more than one group has: the fewer
+    main = mixed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    mixed = mixed.join(main, "key")
     rest = side(mixed.where(F.col("comp") != F.col("main")).drop("main"), "x")
     once = (F.col("y_comp") == F.col("y_main")) | (F.col("x_id") < F.col("y_id"))
     across = checkpoint(paired(rest, side(mixed, "y"), F.col("x_comp") != F.col("y_comp"), once).join(tried, ["a", "b"], "left_anti"))
