@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import first_by_hash
 from .wordhash import ALNUM, row_bounds, slices, utf8, words
 
-VOCABULARY, SOURCES, LANGS = 600, 64, 16
+VOCABULARY, SOURCES, LANGS = 400, 64, 16
 DENSE = 9
 CLASSES = np.full(256, 6, np.uint8)  # byte classes: upper, lower, digit, white, sentence marks, pipes and marks, non-ASCII
 CLASSES[65:91], CLASSES[97:123], CLASSES[48:58] = 0, 1, 2
@@ -102,7 +102,7 @@ class Model:
 
 
 def presence(vocabulary: np.ndarray, h: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((n, len(vocabulary)))
+    out = np.zeros((n, len(vocabulary)), np.float32)
     if len(vocabulary) and len(h):
         at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
         hit = vocabulary[at] == h
@@ -166,7 +166,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sets, pa.binary()), pa.array(rest, pa.binary())], ["source", "lang", "n_chars", "good", "words", "dense"])
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most: int = 4000) -> Model:
     """Fits on docs(doc_id, text, source, lang, n_chars) and labels(doc_id, good 0/1): at most `most` labelled rows and `most` others.
 
     Null ids and labels are left out; of repeated labels of an id the least counts. With no label, or one class only, the model
@@ -192,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Model:
     if len(set(label[fit])) < 2 or len(set(label[hold])) < 2:
         fit = hold = is_told
     vocabulary = choose_words([s for s, f in zip(sets, fit, strict=True) if f], (label[fit] > 0).astype(np.int64))
-    content = np.column_stack([np.vstack([presence(vocabulary, s, np.zeros(len(s), np.int64), 1) for s in sets]), d])
+    content = np.column_stack([presence(vocabulary, np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets)), d.astype(np.float32)])
+    del sets, got  # the driver's memory is small
     views = co_train(content[fit], about[fit], label[fit] > 0, (content[~is_told], about[~is_told]))
     t = (label[hold] > 0).astype(float)
     logits = [v.logit(x[hold])[:, None] for v, x in zip(views, (content, about), strict=True)]
