@@ -3,8 +3,9 @@
 Rows fall to the nearest of about sqrt(n) coarse centroids. What a centroid leaves is quantised in two-dimensional subspaces with
 16 codewords each, under a score-aware loss: error parallel to the vector costs `eta` times as much as error across it, since
 only that moves the large inner products. Codes are chosen by coordinate descent and codewords by least squares under the same
-loss. A query's tables of 16 products a subspace, joined in pairs to 256, score a cluster's rows by look-ups; the best of a part are
-reranked by exact inner products in double precision.
+loss. A query's tables of 16 products a subspace, joined in pairs to 256, score a cluster's rows by look-ups. The best of a part by these
+scores give a k-th exact inner product; every row of the visited clusters that its code's own error lets reach it, ties included, is
+reranked in double precision, so among the visited clusters' rows the result is exact, for near copies that share a code too.
 
 How many clusters a query visits is found on the sample: enough for 98 of 100 true neighbours there. Where vectors fall
 into clusters that is few of them; where they don't, as good as all, and the search is a table scan in blocks.
@@ -117,6 +118,11 @@ class Quantiser:
         codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
         return own, (codes[:, ::2] * 16 + codes[:, 1::2]).astype(np.uint8)
 
+    def decode(self, own: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """The (padded) vectors that encode()'s clusters and codes stand for."""
+        codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(packed), -1)[:, : len(self.words)]
+        return self.coarse[own] + self.words[np.arange(len(self.words)), codes].reshape(len(packed), -1)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(pairs of subspaces, queries, 256)."""
         q = self.padded(q)
@@ -192,6 +198,33 @@ def largest(s: np.ndarray, r: int) -> np.ndarray:
     return top
 
 
+class Reach:
+    """Which rows may have an exact product of at least t with a query, by their table scores.
+
+    A row x of norm |x| and direction u is coded with an error that has the part a|x| along u and one of norm e across it. With c = q.u
+    the table score is c|x|(1 - a) less at most e sqrt(|q|^2 - c^2), which grows with c from 0 on if a < 1; so from c >= t / |x| > 0
+    follows the least score of a row that may reach t. Else the error's whole norm is the bound. The slack is for sums in single precision.
+    """
+
+    def __init__(self, x: np.ndarray, coded: np.ndarray, coarse: np.ndarray):
+        x, coded = x.astype(np.float64), coded.astype(np.float64)
+        self.norm = np.linalg.norm(x, axis=1)
+        error = x - coded
+        along = (error * x).sum(1) / self.norm
+        self.whole = np.linalg.norm(error, axis=1)
+        self.a = along / self.norm
+        self.across = np.sqrt(np.maximum(0.0, self.whole**2 - along**2))
+        self.slack = (x.shape[1] + 64) * 2.0**-23 * (self.norm + np.linalg.norm(coded, axis=1) + 2 * np.linalg.norm(coarse, axis=1))
+
+    def rows(self, s: np.ndarray, size: float, t: float) -> np.ndarray:
+        """Places of such rows, for table scores s (-inf: no candidate) with a query of norm `size`."""
+        least = t - size * self.whole
+        if t > 0:
+            angle = np.sqrt(np.maximum(0.0, size**2 - (t / self.norm) ** 2))
+            least = np.where(self.a < 1, np.maximum(least, t * (1 - self.a) - self.across * angle), least)
+        return np.flatnonzero((s >= least - size * self.slack) & (s > -np.inf))
+
+
 def probes_needed(model: Quantiser, x: np.ndarray, k: int, share: float, most: int = 300) -> int:
     """How many clusters a query must visit so that, among the sample's rows, that share of true neighbours lies in them."""
     q = x[:most]
@@ -223,6 +256,7 @@ def _search(model: Quantiser, size: int, k: int, rerank: int):
             asked = lists.flatten().to_numpy()
             held = np.unique(cluster)
             edges = np.searchsorted(cluster, np.r_[held, held[-1] + 1])
+            reach = Reach(model.padded(x), model.decode(cluster, codes), model.coarse[cluster])
             for at in range(0, len(q), 128):
                 mine = slice(*np.searchsorted(asks, [at, at + 128]))
                 who, which = asks[mine] - at, asked[mine]
@@ -237,10 +271,15 @@ def _search(model: Quantiser, size: int, k: int, rerank: int):
                         s[w, i:j] = own
                 s[rid == q_rid[at : at + 128][:, None]] = -np.inf
                 top = largest(s, rerank)
-                exact = np.einsum("qrd,qd->qr", x[top].astype(np.float64), q[at : at + 128].astype(np.float64))
+                wide = q[at : at + 128].astype(np.float64)
+                exact = np.einsum("qrd,qd->qr", x[top].astype(np.float64), wide)
                 exact[np.take_along_axis(s, top, 1) == -np.inf] = -np.inf
-                best = np.lexsort((ids[top], -exact), axis=1)[:, :k]
-                found.append((np.repeat(np.arange(at, at + len(s)), best.shape[1]), ids[np.take_along_axis(top, best, 1)].ravel(), np.take_along_axis(exact, best, 1).ravel()))
+                kth = np.partition(exact, exact.shape[1] - k, 1)[:, exact.shape[1] - k] if exact.shape[1] >= k else np.full(len(s), -np.inf)
+                for i, t in enumerate(kth.tolist()):
+                    own = reach.rows(s[i], float(np.linalg.norm(wide[i])), t)
+                    e = np.einsum("rd,d->r", x[own].astype(np.float64), wide[i])
+                    best = np.lexsort((ids[own], -e))[:k]
+                    found.append((np.full(len(best), at + i), ids[own[best]], e[best]))
         w, i, s = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         order = np.lexsort((i, -s, w))
         w, i, s = w[order], i[order], s[order]

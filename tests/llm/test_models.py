@@ -217,3 +217,21 @@ def test_permutations_have_no_fixed_points(n):
     key = pii.Key(b"x")
     out = [key.number(i, n, "t") for i in range(n)]
     assert sorted(out) == list(range(n)) and all(i != o for i, o in enumerate(out))
+
+
+def test_neighbours_within_a_hot_group_of_noisy_copies(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(9000, 32))
+    x[::3] = x[0]
+    noise = rng.normal(size=x.shape)
+    x += 0.1 * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(x.astype(np.float32).tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(d, every=60, sample=4000).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    x, hits = x.astype(np.float32).astype(np.float64), []
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(set(found) & set(np.argsort(-s)[:20].tolist())))
+    assert len(got) == 150 and sum(hits) >= 0.95 * 20 * len(got)
