@@ -191,13 +191,20 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if sum(c.isdigit() for c in m.group()) >= 8:
             found.append((m.start(), m.end(), 5, "iban", m.group().replace(" ", "")))
     if any(t in text for t in TITLE_OF) or any(n in text for n in NAME_OF):
-        for m in PERSON.finditer(text):
+        m = PERSON.search(text)
+        while m:
             title, name = m.groups()
             parts = name.split(" ")
+            # a second word that isn't taken may begin a name itself, and so may a second title
+            after = m.start(2) + (0 if title and parts[0] in TITLE_OF else len(parts[0]))
+            if parts[-1] in TITLE_OF:
+                del parts[1:]
             given = NAME_OF.get(parts[0])
-            if title or given and len(parts) > 1:
+            if (title or given and len(parts) > 1) and parts[0] not in TITLE_OF:
                 gender = given[0][0] if given else TITLE_OF.get(title, "")
-                found.append((m.start(2), m.end(2), 6, "person", " ".join([gender, *parts])))
+                after = m.start(2) + len(" ".join(parts))
+                found.append((m.start(2), after, 6, "person", " ".join([gender, *parts])))
+            m = PERSON.search(text, after)
     out, last = [], -1
     for start, end, _, kind, canonical in sorted(found, key=lambda x: (x[0], x[2], -x[1])):
         if start >= last:

@@ -235,3 +235,11 @@ def test_neighbours_within_a_hot_group_of_noisy_copies(spark):
         s[q] = -np.inf
         hits.append(len(set(found) & set(np.argsort(-s)[:20].tolist())))
     assert len(got) == 150 and sum(hits) >= 0.95 * 20 * len(got)
+
+
+def test_names_after_a_capitalised_word():
+    texts = ["Contact Alice Smith", "Yesterday Maria Garcia met", "Dear Mrs Jones", "Dear Mr. Smith, hello", "On Monday Frau Anna Groß", "Вчера господин Иван Петров", "Mr Smith Mrs Jones", "Alice Dr Brown", "Prof. Dr. Anna Groß", "Mrs Dr Jones", "Ask Mrs Dr"]
+    got = [[(t[a:b], c) for a, b, kind, c in pii.find(t) if kind == "person"] for t in texts]
+    assert got == [[("Alice Smith", "f Alice Smith")], [("Maria Garcia", "f Maria Garcia")], [("Jones", "f Jones")], [("Smith", "m Smith")], [("Anna Groß", "f Anna Groß")],
+                   [("Иван Петров", "m Иван Петров")], [("Smith", "m Smith"), ("Jones", "f Jones")], [("Brown", " Brown")], [("Anna Groß", "f Anna Groß")], [("Jones", " Jones")], []]
+    assert not pii.find("Contact Us At Once") and not pii.find("Dear Sir, The Alice")
