@@ -43,7 +43,7 @@ ACCOUNT = re.compile(r"(?<![\d.+])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}|\d{13,19}
 PHONE = re.compile(r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d)|(?<!\d)\+\d{8,15}(?!\d)", re.A)
 EMAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.A)
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A)
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z", re.A)
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 UP = r"[A-ZÀ-ÖØ-ÞА-Я]"
 PERSON = re.compile(rf"\b(?:({'|'.join(t for ts in TITLES.values() for t in ts)})\b\.? )?({UP}[\w'’-]*(?: {UP}[\w'’-]+)?)")
 
@@ -95,7 +95,10 @@ class Key:
         return back((forth(x) + 1) % n)
 
     def text(self, s: str, tweak: str, ok: Callable[[str], bool] | None = None) -> str:
-        """Replaces each lower-case letter and digit within its set; ok is a property of s that the result must have too."""
+        """Replaces each lower-case letter and digit within its set; ok is a property of s that the result must have too. Long texts,
+        which only addresses and names have, go in pieces: a round makes 64 bytes at most."""
+        if len(s) > 200:
+            return "".join(self.text(s[i : i + 200], tweak) for i in range(0, len(s), 200))
         sets = [SET_OF.get(c, c) for c in s]
         n = 1
         for x in sets:
@@ -170,16 +173,17 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical) of entities, leftmost first, not overlapping; kinds in the order below win ties."""
     found: list[tuple[int, int, int, str, str]] = []
     if "@" in text:
-        at = text.find("@")
-        while at >= 0:  # from each @ back to where its local part begins, so that the text is walked once
-            begin = max(0, at - 320)
-            m = LOCAL.search(text, begin, at)
-            begin = m.start() if m else at
+        at, last = text.find("@"), 0
+        while at >= 0:  # from each @ back to where its local part begins, or the last address ends, so that the text is walked once
+            begin = at
+            while begin > last and text[begin - 1] in LOCAL:
+                begin -= 1
             while begin < at and text[begin] == ".":
                 begin += 1
             own = EMAIL.match(text, begin)
             if own:
                 found.append((own.start(), own.end(), 0, "email", own.group().lower()))
+                last = own.end()
             at = text.find("@", max(at + 1, own.end() if own else 0))
     for run in NUMBERS.finditer(text):
         a, b = max(0, run.start() - 1), min(len(text), run.end() + 1)

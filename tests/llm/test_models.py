@@ -243,3 +243,13 @@ def test_names_after_a_capitalised_word():
     assert got == [[("Alice Smith", "f Alice Smith")], [("Maria Garcia", "f Maria Garcia")], [("Jones", "f Jones")], [("Smith", "m Smith")], [("Anna Groß", "f Anna Groß")],
                    [("Иван Петров", "m Иван Петров")], [("Smith", "m Smith"), ("Jones", "f Jones")], [("Brown", " Brown")], [("Anna Groß", "f Anna Groß")], [("Jones", " Jones")], []]
     assert not pii.find("Contact Us At Once") and not pii.find("Dear Sir, The Alice")
+
+
+def test_an_email_is_found_from_its_beginning():
+    long = "x1" * 400 + ".y@mail.example.com"
+    for text in (f"to {long} now", long, f"a@b.com{long}", f"é{long}"):
+        assert [text[a:b] for a, b, kind, _ in pii.find(text) if kind == "email"][-1].endswith(long[1:])
+    assert [(a, b) for a, b, *_ in pii.find(f"to {long} now")] == [(3, 3 + len(long))]
+    made = pii.Key(b"k").surrogate("email", long)
+    assert len(made) == len(long) and made != pii.Key(b"k").surrogate("email", "z" + long[1:])
+    assert all(made[i : i + 200] != long[i : i + 200] for i in range(0, 800, 200)) and re.sub(r"\d", "0", made)[1:800:2] == "0" * 400
