@@ -211,3 +211,6 @@ SELECT iteration, mean_value, events, round(mean_value - lag(mean_value) OVER (O
     "trusted_volumes": f"""WITH {CORPUS}, {VOLUMES}, m AS (SELECT volume, median(number) AS mid FROM vol GROUP BY 1), n AS (SELECT vol.* FROM vol JOIN m USING (volume) WHERE abs(number - mid) <= 200),
 s AS (SELECT volume, number, lag(number) OVER (PARTITION BY volume ORDER BY doc_id) AS p FROM n), k AS (SELECT volume FROM s GROUP BY 1 HAVING coalesce(avg(CASE WHEN p IS NOT NULL THEN (number > p)::INT END), 1.0) >= 0.95) SELECT volume, count(*) AS n FROM n WHERE volume IN (SELECT volume FROM k) GROUP BY 1""",
 }
+
+ALL_VERSES = f"asks AS (SELECT 'v' || surah || ':' || ayah AS id, {norm('text')} AS n, id AS own, surah || ':' || ayah AS ref FROM corpus WHERE surah IS NOT NULL)"
+ORACLES["crossref_links_all"] = ORACLES["crossref_links"].replace(VERSES, ALL_VERSES)

@@ -141,16 +141,30 @@ def lecture_pool(spark, sf_dir):
     return _six(retrieval.lecture_pool(retrieval.lecture_sections(_sims(spark, sf_dir), bind(spark, sf_dir))))
 
 
-def crossref_links(spark, sf_dir):
+def _crossref(spark, sf_dir, first_only):
     corpus = bind(spark, sf_dir)
     with_normal = corpus.withColumn("normal", X.normalize_for_search(F.coalesce("text", F.lit(""))))
-    first = Window.partitionBy("surah").orderBy("ayah")
-    verses = with_normal.where(F.col("surah").isNotNull()).withColumn("_r", F.row_number().over(first)).where("_r = 1")
-    verses = verses.select(F.concat(F.lit("v"), F.col("surah").cast("string")).alias("query_id"), "id", "normal", F.concat_ws(":", "surah", "ayah").alias("ref"))
+    verses = with_normal.where(F.col("surah").isNotNull())
+    query_id = F.concat(F.lit("v"), F.concat_ws(":", "surah", "ayah"))
+    if first_only:
+        first = Window.partitionBy("surah").orderBy("ayah")
+        verses = verses.withColumn("_r", F.row_number().over(first)).where("_r = 1")
+        query_id = F.concat(F.lit("v"), F.col("surah").cast("string"))
+    verses = verses.select(query_id.alias("query_id"), "id", "normal", F.concat_ws(":", "surah", "ayah").alias("ref"))
     sims = _index(spark, sf_dir).similarities(verses.select(F.col("query_id").alias("id"), "normal"))
     return _six(retrieval.cross_references(sims, verses, with_normal))
 
 
+def crossref_links(spark, sf_dir):
+    """Of the first verse of each surah, as its SQL has it; crossref_links_all is the whole job."""
+    return _crossref(spark, sf_dir, first_only=True)
+
+
+def crossref_links_all(spark, sf_dir):
+    """Of every verse of the corpus."""
+    return _crossref(spark, sf_dir, first_only=False)
+
+
 def citation_completeness(spark, sf_dir):
     return bind(spark, sf_dir).select("id", "evidence_type", C.is_complete(F.col).alias("complete"), C.as_fact(F.col).alias("as_fact"))
 
@@ -366,7 +380,7 @@ def trusted_volumes(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     normalize_text, token_counts, char_trigram_counts, feature_hash_buckets, idf_table, tfidf_topk, hashing_topk, dense_topk, confidence_rerank, retrieve_filtered_compat, retrieve_filtered_exact,
-    consensus_by_source, compare_sources, multi_part_merge, extractive_answers, question_parts, lecture_sections, lecture_pool, crossref_links, citation_completeness, reference_string, unknown_sources, passage_exists, validate_citations,
+    consensus_by_source, compare_sources, multi_part_merge, extractive_answers, question_parts, lecture_sections, lecture_pool, crossref_links, crossref_links_all, citation_completeness, reference_string, unknown_sources, passage_exists, validate_citations,
     source_coverage, claim_overlap, content_overlap, answer_grounding, hallucination_rate, verify_markers, verify_synthesis, detect_language, language_mix, dedupe_documents, near_duplicate_keys,
     chunk_text, facets, source_types, top_narrators, narrator_lookup, narrator_profile, grade_summary, source_score, review_queue, manifest_status, iteration_deltas, gold_metrics, mrr, export_parts,
     page_text, isolated_numbers, increasing_refs, page_fill, trusted_volumes)}

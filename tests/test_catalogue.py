@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomspan.plans.oracles import ORACLES
+from loomspan.plans.oracles import CORPUS, ORACLES
 from loomspan.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -36,3 +36,9 @@ def test_query_equals_its_sql(spark, duck, name):
         names = [d[0] for d in found.description]
         assert sorted(names) == sorted(df.columns)
         assert got == rows(names, found.fetchall())
+
+
+def test_every_verse_is_searched_for(spark, duck):
+    asked = {r.query_id for r in QUERIES["crossref_links_all"](spark, DATA).select("query_id").distinct().collect()}
+    verses = duck.execute(f"WITH {CORPUS} SELECT 'v' || surah || ':' || ayah FROM corpus WHERE surah IS NOT NULL AND length(text) > 200").fetchall()
+    assert len(verses) > 20 and {v for v, in verses} <= asked
