@@ -14,7 +14,7 @@ PII_SECRET = b"loomspan surrogate key"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+    return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents"), whole=True))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
