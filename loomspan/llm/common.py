@@ -72,6 +72,13 @@ def numbered(df: DataFrame, name: str = "_rid") -> DataFrame:
     return (df if nodes <= _STEADY else checkpoint(df)).withColumn(name, F.monotonically_increasing_id())
 
 
+def apart(df: DataFrame, known: dict[str, str]) -> tuple[DataFrame, list[Column]]:
+    """The table with the known columns under the names given and all others under names that no operator uses, and the columns that
+    give it back its own names and order."""
+    names = [known.get(c, f"extra_{i}__") for i, c in enumerate(df.columns)]
+    return df.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case for A-Z alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
