@@ -28,14 +28,19 @@ STOPWORDS = (
 
 
 @F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.str.normalize("NFC")
+def _recomposed(s: pd.Series, form: pd.Series) -> pd.Series:
+    return s.str.normalize(form.iloc[0]) if len(s) else s
+
+
+def recompose(text: Column, form: str) -> Column:
+    """A Unicode normal form."""
+    return _recomposed(text, F.lit(form))
 
 
 def compose(text: Column) -> Column:
-    """Unicode NFC."""
+    """Unicode NFC. Only texts with characters that it may change leave the JVM."""
     needs = F.when(text.rlike("[^\\x{0}-\\x{2ff}]"), text)
-    return F.coalesce(_nfc(needs), text)
+    return F.coalesce(recompose(needs, "NFC"), text)
 
 
 def strip_tashkeel(text: Column) -> Column:

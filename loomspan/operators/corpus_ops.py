@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,21 +92,32 @@ def trusted_volumes(rows: DataFrame, by: str, order: str, number: str, spread: i
     return near.join(steps.where(F.coalesce("_s", F.lit(1.0)) >= least).select(by), by, "left_semi")
 
 
+def packed(lengths: Sequence[int], most: int, gap: int) -> list[tuple[int, int]]:
+    """[first, end) of the runs of consecutive pieces whose lengths, with a gap between two, sum to at most `most`; a longer piece is a
+    run by itself. Each run's end is looked up in the running sums."""
+    ends = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64) + gap)])
+    runs, at = [], 0
+    while at < len(lengths):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + most + gap, "right")) - 1)
+        runs.append((at, end))
+        at = end
+    return runs
+
+
+def bounds(lengths: Column, most: int, gap: int) -> Column:
+    """packed() of a column array<int>, as array<array<int>>."""
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [list(r) for r in packed(x, most, gap)])
+
+    return cut(lengths)
+
+
 def chunk_text(text: str, most: int = 1200, overlap: int = 150) -> list[str]:
     """Paragraphs joined up to `most` characters; longer ones are cut by themselves, each cut beginning `overlap` before the last's end."""
-    out: list[str] = []
-    held = ""
-    for p in filter(None, (p.strip() for p in text.split("\n\n"))):
-        if len(p) > most:
-            out += [held] if held else []
-            out += [p[i : i + most] for i in range(0, len(p), most - overlap)]
-            held = ""
-        elif len(held) + len(p) + 2 <= most:
-            held = f"{held}\n\n{p}" if held else p
-        else:
-            out += [held] if held else []
-            held = p
-    return out + ([held] if held else [])
+    paragraphs = [s for p in text.split("\n\n") if (s := p.strip())]
+    joined = ["\n\n".join(paragraphs[a:b]) for a, b in packed([len(p) for p in paragraphs], most, 2)]
+    return [t[i : i + most] for t in joined for i in range(0, len(t) if len(t) > most else 1, most - overlap)]
 
 
 def chunks(docs: DataFrame, most: int = 1200, overlap: int = 150) -> DataFrame:
