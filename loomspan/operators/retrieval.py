@@ -1,95 +1,100 @@
 """Lexical and dense retrieval: hashed TF-IDF indexes as tables, batch top-k, filters, confidence re-ranking, links.
 
-An index is two tables: (feature, df, idf) and sparse vectors (id, bucket, w). A batch of queries is scored by one equi-join on
-buckets and one aggregation; ranks come from a window whose limit Spark pushes below the shuffle (WindowGroupLimit).
+An index is two tables: (feature, df, idf, bucket, sign) and sparse vectors, a row a document. Filters come before the product of documents
+and queries; each batch gives its best rows alone (features.nearest), and ranks come from a window whose limit Spark pushes below the shuffle.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.citations import bonus, rank
+from . import features
 
 DIM = 2048
 
 
 def feature_rows(rows: DataFrame, prefixed: bool = True) -> DataFrame:
     """(id, f) of rows(id, normal): one row per occurrence of a token or character trigram."""
-    mark = (lambda m, c: F.concat(F.lit(m), c)) if prefixed else (lambda _, c: c)
-    words = rows.select("id", F.explode(X.tokens(F.col("normal"))).alias("t")).select("id", mark("w:", F.col("t")).alias("f"))
-    grams = rows.select("id", F.explode(X.trigrams(F.col("normal"))).alias("t")).select("id", mark("c:", F.col("t")).alias("f"))
-    return words.union(grams)
+    mark = (lambda m, c: F.transform(c, lambda x: F.concat(F.lit(m), x))) if prefixed else (lambda _, c: c)
+    own = F.concat(mark("w:", X.tokens(F.col("normal"))), mark("c:", X.trigrams(F.col("normal"))))
+    return rows.select("id", F.explode(own).alias("f"))
 
 
-def term_counts(rows: DataFrame, prefixed: bool = True) -> DataFrame:
-    return feature_rows(rows, prefixed).groupBy("id", "f").agg(F.count("*").alias("tf"))
+def idf_table(frequencies: DataFrame, n: int, dim: int = DIM) -> DataFrame:
+    """(f, df, idf, bucket, sign) of (f, df) over n documents; a feature is hashed once, here."""
+    idf = F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0
+    return frequencies.select("f", "df", idf.alias("idf"), X.bucket(F.col("f"), dim).alias("bucket"), X.sign(F.col("f")).alias("sign"))
 
 
-def idf_table(tf: DataFrame, n: int) -> DataFrame:
-    """(f, df, idf) over the distinct features of n documents."""
-    return tf.groupBy("f").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0)
+class StaleIndex(ValueError):
+    """An index of another embedder, dimension or corpus than asked for."""
 
 
-def unit(weighted: DataFrame, dim: int) -> DataFrame:
-    """(id, bucket, w) of (id, f, w): signed sums by bucket, of length 1; a zero vector has no rows."""
-    summed = weighted.groupBy("id", X.bucket(F.col("f"), dim).alias("bucket")).agg(F.sum(F.col("w") * X.sign(F.col("f"))).alias("w"))
-    by_id = summed.where("w <> 0").groupBy("id").agg(F.collect_list(F.struct("bucket", "w")).alias("v"))
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return by_id.select("id", size.alias("size"), F.explode("v").alias("x")).select("id", "x.bucket", (F.col("x.w") / F.col("size")).alias("w"))
+def fingerprint(rows: DataFrame) -> str:
+    """Of rows(id, normal), whatever their order: their count and the sum of their hashes."""
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("id", "normal"), F.lit(1 << 40))), F.lit(0))).first()
+    return f"{n}-{total}"
 
 
 @dataclass
 class TfidfIndex:
-    """idf(f, df, idf), vectors(id, bucket, w), the count of documents and the dimension."""
+    """idf(f, df, idf, bucket, sign), vectors(id, buckets, weights), the count of documents, the dimension and the signature."""
     idf: DataFrame
     vectors: DataFrame
     n: int
     dim: int = DIM
+    signature: str = ""
+
+    @staticmethod
+    def sign(dim: int, corpus: str) -> str:
+        return f"{TfidfIndex.__name__}:tfidf:{dim}:{corpus}"
 
     @classmethod
     def build(cls, rows: DataFrame, path: str, dim: int = DIM) -> TfidfIndex:
         """Of rows(id, normal); its tables are written below path, the counts among them, so that a query's idf is the corpus's."""
         spark = rows.sparkSession
-        n = rows.count()
-        term_counts(rows).write.mode("overwrite").parquet(f"{path}/tf")
-        tf = spark.read.parquet(f"{path}/tf")
-        idf_table(tf, n).write.mode("overwrite").parquet(f"{path}/idf")
+        mark = fingerprint(rows)
+        n = int(mark.split("-")[0])
+        idf_table(features.document_frequencies(rows), n, dim).write.mode("overwrite").parquet(f"{path}/idf")
         idf = spark.read.parquet(f"{path}/idf")
-        weighted = tf.join(idf, "f").select("id", "f", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
-        unit(weighted, dim).write.mode("overwrite").parquet(f"{path}/vectors")
-        spark.createDataFrame([(n, dim)], "n long, dim int").write.mode("overwrite").parquet(f"{path}/signature")
-        return cls.open(spark, path)
+        features.weighted_vectors(rows, idf, n, dim).write.mode("overwrite").parquet(f"{path}/vectors")
+        spark.createDataFrame([(n, dim, cls.sign(dim, mark))], "n long, dim int, signature string").write.mode("overwrite").parquet(f"{path}/signature")
+        return cls.open(spark, path, dim)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> TfidfIndex:
-        n, dim = spark.read.parquet(f"{path}/signature").first()
-        return cls(spark.read.parquet(f"{path}/idf"), spark.read.parquet(f"{path}/vectors"), n, dim)
+    def open(cls, spark: SparkSession, path: str, dim: int | None = None, corpus: DataFrame | None = None) -> TfidfIndex:
+        """The index at a path, refused if it isn't of the dimension or of the corpus(id, normal) given."""
+        n, own, signature = spark.read.parquet(f"{path}/signature").select("n", "dim", "signature").first()
+        if dim not in (None, own) or corpus is not None and signature != cls.sign(own, fingerprint(corpus)):
+            raise StaleIndex(f"{path} holds {signature}")
+        return cls(spark.read.parquet(f"{path}/idf"), spark.read.parquet(f"{path}/vectors"), n, own, signature)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """(id, buckets, weights) of the rows(id, normal) whose id the index lacks, weighted by its own idf: only they are embedded."""
+        return self.embed(rows.join(self.vectors.select("id"), "id", "left_anti"))
 
     def embed(self, queries: DataFrame) -> DataFrame:
-        """(id, bucket, w) of queries(id, normal); a feature that no document has counts as the rarest."""
-        unseen = math.log(self.n + 1.0) + 1.0 if self.n else 1.0
-        tf = term_counts(queries).join(self.idf.select("f", "idf"), "f", "left")
-        return unit(tf.select("id", "f", ((1.0 + F.log("tf")) * F.coalesce("idf", F.lit(unseen))).alias("w")), self.dim)
+        """(id, buckets, weights) of queries(id, normal); a feature that no document has counts as the rarest."""
+        return features.joined_vectors(queries, self.idf, math.log(self.n + 1.0) + 1.0 if self.n else 1.0, self.dim)
+
+    def nearest(self, queries: DataFrame, k: int | None, docs: DataFrame | None = None, floor: float | None = None) -> DataFrame:
+        """(query_id, part, id, similarity, score): see features.nearest(). docs(id[, part][, bonus]) are the documents to search, and what they count by."""
+        own = self.vectors if docs is None else self.vectors.join(docs, "id")
+        return features.nearest(own, self.embed(queries), self.dim, k, floor)
 
     def similarities(self, queries: DataFrame) -> DataFrame:
         """(query_id, id, similarity) of all pairs with a bucket in common; similarity to nine decimals, so that ties are ties."""
-        q = self.embed(queries).select(F.col("id").alias("query_id"), "bucket", F.col("w").alias("qw"))
-        return scored(q, self.vectors)
-
-
-def scored(q: DataFrame, vectors: DataFrame) -> DataFrame:
-    pairs = vectors.join(q, "bucket").groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("qw")).alias("s"))
-    return pairs.select("query_id", "id", F.round("s", 9).alias("similarity"))
-
-
-def hashing_vectors(rows: DataFrame, dim: int = 512) -> DataFrame:
-    """Signed counts of unprefixed features, of length 1; needs no fitting."""
-    return unit(feature_rows(rows, prefixed=False).select("id", "f", F.lit(1.0).alias("w")), dim)
+        return self.nearest(queries, None).select("query_id", "id", "similarity")
 
 
 def top(rows: DataFrame, k: int, by: Column, within: tuple[str, ...] = ("query_id",), tie: str = "id", name: str = "rank") -> DataFrame:
@@ -108,14 +113,18 @@ def filtered(corpus: DataFrame, types: tuple[str, ...] = (), sources: tuple[str,
     return corpus.where(cond)
 
 
+def candidates(k: int, any_filter: bool, oversample: int = 4) -> int:
+    """How many rows by similarity are ranked again by score."""
+    return max(oversample * k, 25 * k, 200) if any_filter else max(oversample * k, k)
+
+
 def retrieve(sims: DataFrame, corpus: DataFrame, k: int = 5, types: tuple[str, ...] = (), sources: tuple[str, ...] = (), least: str = "unverified", compat: bool = False, oversample: int = 4) -> DataFrame:
     """(query_id, rank, id, source_id, evidence_type, confidence, similarity, score): similarity plus the confidence's bonus.
 
     Filters come first. In compat mode the candidates are cut before they are filtered, to max(4k, k) rows or, with a filter,
     max(4k, 25k, 200): what a filter then leaves may be fewer than k. Ties go to the smaller id.
     """
-    any_filter = bool(types or sources or least != "unverified")
-    breadth = max(oversample * k, 25 * k, 200) if any_filter else max(oversample * k, k)
+    breadth = candidates(k, bool(types or sources or least != "unverified"), oversample)
     meta = corpus.select("id", "source_id", "evidence_type", "confidence")
     if compat:
         found = filtered(top(sims, breadth, F.col("similarity"), name="_c").join(meta, "id"), types, sources, least)
@@ -187,9 +196,40 @@ def cross_references(sims: DataFrame, verses: DataFrame, corpus: DataFrame, k: i
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, id, similarity) by cosine. queries(query_id, q) is a small stated set: it is made one array that each row meets, so
-    no rows are paired by a join."""
-    held = [(r.query_id, [float(x) for x in r.q]) for r in queries.collect()]
-    asks = F.array(*[F.struct(F.lit(i).alias("query_id"), F.array(*[F.lit(x) for x in v]).alias("q")) for i, v in held])
-    pairs = vectors.select("id", "v", F.explode(asks).alias("a")).select("id", "a.query_id", F.round(X.cosine(F.col("v"), F.col("a.q")), 9).alias("similarity"))
-    return top(pairs, k, F.col("similarity")).select("query_id", "rank", "id", "similarity")
+    """(query_id, rank, id, similarity) by cosine, 0 with a zero vector, of vectors(id, v) and queries(query_id, q), a stated set.
+
+    Queries meet the rows in blocks of bounded size, a pass each, and each batch gives its best k alone. Vectors of another size than the
+    query's fail."""
+    kind = dict(vectors.dtypes)["id"]
+    n = queries.count()
+    blocks = max(1, math.ceil(2 * n / features.BLOCK)) if n > features.BLOCK else 1
+    out = None
+    for i in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()
+        found = vectors.select("id", "v").mapInArrow(_cosines(own, k), f"query_id {dict(queries.dtypes)['query_id']}, id {kind}, similarity double")
+        out = found if out is None else out.union(found)
+    return top(out, k, F.col("similarity")).select("query_id", "rank", "id", "similarity")
+
+
+def _cosines(block: pd.DataFrame, k: int):
+    ids, held = pa.array(block["query_id"]), [np.asarray(x, np.float64) for x in block["q"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len({len(x) for x in held}) > 1:
+            raise ValueError("vectors differ in size")
+        q = np.array(held).reshape(len(held), -1)
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        for batch in batches:
+            if not batch.num_rows or not len(q):
+                continue
+            v = np.array([np.asarray(x, np.float64) for x in batch.column(1).to_pylist()])
+            if v.ndim != 2 or v.shape[1] != q.shape[1]:
+                raise ValueError("vectors differ in size")
+            s = np.round((v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ q.T, 9) + 0.0
+            order = np.empty(len(v), np.int64)
+            order[pa.compute.array_sort_indices(batch.column(0)).to_numpy()] = np.arange(len(v))
+            at = [features.best_first(s[:, j], order, k) for j in range(len(q))]
+            cols = np.repeat(np.arange(len(q)), [len(x) for x in at])
+            at = np.concatenate(at)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols)), batch.column(0).take(pa.array(at)), pa.array(s[at, cols])], ["query_id", "id", "similarity"])
+    return run

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,18 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import text as X
-from ..operators import answers, corpus_ops, evaluation, grounding, narrators, retrieval
+from ..functions.citations import bonus
+from ..operators import answers, corpus_ops, evaluation, features, grounding, narrators, retrieval
 from ..sources.corpus import bind, registry, source_number, table
 from ..sources.files import html_text
+from ..storage import shared_folder
 
-_INDEXES: dict[tuple[str, str], str] = {}
-
-
-def _folder(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
+_INDEXES: dict[tuple, str] = {}
 
 
 def _normal(df: DataFrame, key: str = "id") -> DataFrame:
@@ -29,10 +23,12 @@ def _normal(df: DataFrame, key: str = "id") -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> retrieval.TfidfIndex:
-    """The corpus's index, built once a session and folder, then read."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The corpus's index, built once a session and state of its files, then read."""
+    at = F.struct("_metadata.file_path", "_metadata.file_size", F.unix_micros("_metadata.file_modification_time"))
+    files = table(spark, sf_dir, "documents").select(F.xxhash64(at).alias("h")).distinct().agg(F.count("*"), F.sum(F.pmod("h", F.lit(1 << 40)))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *files)
     if key not in _INDEXES:
-        path = f"{_folder(spark)}/index-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
         retrieval.TfidfIndex.build(_normal(bind(spark, sf_dir)), path)
         _INDEXES[key] = path
     return retrieval.TfidfIndex.open(spark, _INDEXES[key])
@@ -42,8 +38,13 @@ def _asks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _normal(table(spark, sf_dir, "benchmark").withColumn("id", F.concat(F.lit("q"), F.col("item_id").cast("string"))))
 
 
-def _sims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).similarities(_asks(spark, sf_dir))
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bind(spark, sf_dir).select("id", "source_id", "evidence_type", "confidence")
+
+
+def _sims(spark: SparkSession, sf_dir: str, k: int, docs: DataFrame | None = None, floor: float | None = None) -> DataFrame:
+    """What can be among the k best of each benchmark text (and part of docs)."""
+    return _index(spark, sf_dir).nearest(_asks(spark, sf_dir), k, docs, floor)
 
 
 def _six(df: DataFrame) -> DataFrame:
@@ -75,12 +76,12 @@ def idf_table(spark, sf_dir):
 
 
 def tfidf_topk(spark, sf_dir):
-    return _six(retrieval.top(_sims(spark, sf_dir), 10, F.col("similarity")))
+    return _six(retrieval.top(_sims(spark, sf_dir, 10), 10, F.col("similarity")).select("query_id", "id", "similarity", "rank"))
 
 
 def hashing_topk(spark, sf_dir):
-    q = retrieval.hashing_vectors(_asks(spark, sf_dir)).select(F.col("id").alias("query_id"), "bucket", F.col("w").alias("qw"))
-    return _six(retrieval.top(retrieval.scored(q, retrieval.hashing_vectors(_normal(bind(spark, sf_dir)))), 10, F.col("similarity")))
+    v, q = (features.hashing_vectors(x) for x in (_normal(bind(spark, sf_dir)), _asks(spark, sf_dir)))
+    return _six(retrieval.top(features.nearest(v, q, 512, 10), 10, F.col("similarity")).select("query_id", "id", "similarity", "rank"))
 
 
 def dense_topk(spark, sf_dir):
@@ -91,28 +92,30 @@ def dense_topk(spark, sf_dir):
 
 
 def confidence_rerank(spark, sf_dir):
-    return _six(retrieval.retrieve(_sims(spark, sf_dir), bind(spark, sf_dir), compat=True))
+    return _six(retrieval.retrieve(_sims(spark, sf_dir, retrieval.candidates(5, False)), bind(spark, sf_dir), compat=True))
 
 
 def retrieve_filtered_compat(spark, sf_dir):
-    return _six(retrieval.retrieve(_sims(spark, sf_dir), bind(spark, sf_dir), types=("tafsir", "hadith"), least="low", compat=True))
+    return _six(retrieval.retrieve(_sims(spark, sf_dir, retrieval.candidates(5, True)), bind(spark, sf_dir), types=("tafsir", "hadith"), least="low", compat=True))
 
 
 def retrieve_filtered_exact(spark, sf_dir):
-    return _six(retrieval.retrieve(_sims(spark, sf_dir), bind(spark, sf_dir), types=("tafsir", "hadith"), least="low"))
+    kept = retrieval.filtered(_meta(spark, sf_dir), types=("tafsir", "hadith"), least="low").select("id")
+    return _six(retrieval.retrieve(_sims(spark, sf_dir, retrieval.candidates(5, True), kept), bind(spark, sf_dir), types=("tafsir", "hadith"), least="low"))
 
 
 def consensus_by_source(spark, sf_dir):
-    return _six(retrieval.consensus(retrieval.retrieve(_sims(spark, sf_dir), bind(spark, sf_dir), k=8, compat=True)))
+    return _six(retrieval.consensus(retrieval.retrieve(_sims(spark, sf_dir, retrieval.candidates(8, False)), bind(spark, sf_dir), k=8, compat=True)))
 
 
 def compare_sources(spark, sf_dir):
-    return _six(retrieval.compare(_sims(spark, sf_dir), bind(spark, sf_dir)))
+    docs = retrieval.filtered(_meta(spark, sf_dir), least="low").select("id", F.col("source_id").alias("part"), bonus(F.col("confidence")).alias("bonus"))
+    return _six(retrieval.compare(_sims(spark, sf_dir, 4, docs, 0.15), bind(spark, sf_dir)))
 
 
 def multi_part_merge(spark, sf_dir):
     parts = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), F.floor(F.col("item_id") / 3).alias("question_id"))
-    found = retrieval.retrieve(_sims(spark, sf_dir), bind(spark, sf_dir), k=6, least="low", compat=True)
+    found = retrieval.retrieve(_sims(spark, sf_dir, retrieval.candidates(6, True)), bind(spark, sf_dir), k=6, least="low", compat=True)
     return _six(retrieval.merge_parts(found, parts))
 
 
@@ -122,7 +125,7 @@ def extractive_answers(spark, sf_dir):
     parts = b.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("query_id"), "question_id")
     asked = b.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), " ").alias("question"))
     corpus = bind(spark, sf_dir)
-    found = retrieval.retrieve(_sims(spark, sf_dir), corpus, k=6, least="low", compat=True)
+    found = retrieval.retrieve(_sims(spark, sf_dir, retrieval.candidates(6, True)), corpus, k=6, least="low", compat=True)
     out = answers.answers(found, parts, corpus.withColumn("reference", C.reference(F.col)), asked)
     return out.select("question_id", "language", F.size("claims").cast("long").alias("n_claims"), F.get("claims", F.lit(0))["reference"].alias("first"), F.md5("summary").alias("summary"), F.size("caveats").cast("long").alias("n_caveats"))
 
@@ -133,12 +136,16 @@ def question_parts(spark, sf_dir):
     return t.select("conv_id", "turn", "part", F.md5("question").alias("digest"))
 
 
+def _by_type(spark, sf_dir):
+    return _meta(spark, sf_dir).select("id", F.col("evidence_type").alias("part"))
+
+
 def lecture_sections(spark, sf_dir):
-    return _six(retrieval.lecture_sections(_sims(spark, sf_dir), bind(spark, sf_dir)))
+    return _six(retrieval.lecture_sections(_sims(spark, sf_dir, 200, _by_type(spark, sf_dir)), bind(spark, sf_dir)))
 
 
 def lecture_pool(spark, sf_dir):
-    return _six(retrieval.lecture_pool(retrieval.lecture_sections(_sims(spark, sf_dir), bind(spark, sf_dir))))
+    return _six(retrieval.lecture_pool(retrieval.lecture_sections(_sims(spark, sf_dir, 200, _by_type(spark, sf_dir)), bind(spark, sf_dir))))
 
 
 def _crossref(spark, sf_dir, first_only):
@@ -151,7 +158,7 @@ def _crossref(spark, sf_dir, first_only):
         verses = verses.withColumn("_r", F.row_number().over(first)).where("_r = 1")
         query_id = F.concat(F.lit("v"), F.col("surah").cast("string"))
     verses = verses.select(query_id.alias("query_id"), "id", "normal", F.concat_ws(":", "surah", "ayah").alias("ref"))
-    sims = _index(spark, sf_dir).similarities(verses.select(F.col("query_id").alias("id"), "normal"))
+    sims = _index(spark, sf_dir).nearest(verses.select(F.col("query_id").alias("id"), "normal"), 375, _by_type(spark, sf_dir).where(F.col("part").isin("tafsir", "hadith", "quran")))
     return _six(retrieval.cross_references(sims, verses, with_normal))
 
 
@@ -342,7 +349,7 @@ def _gold(spark, sf_dir):
 
 
 def gold_metrics(spark, sf_dir):
-    found = retrieval.retrieve(_sims(spark, sf_dir), bind(spark, sf_dir), k=10, compat=True)
+    found = retrieval.retrieve(_sims(spark, sf_dir, retrieval.candidates(10, False)), bind(spark, sf_dir), k=10, compat=True)
     return _six(evaluation.gold_metrics(found, _gold(spark, sf_dir), 10))
 
 
