@@ -2,32 +2,42 @@
 
 A surrogate is a keyed permutation of the entity's canonical form, so distinctness needs no shared state: equal entities get the
 same surrogate in every document and task (coreference), different ones never the same. Digits become digits and letters letters
-of their script, class (vowel or consonant) and case; marks stay. Given names go to given names of the same gender and script.
-The permutation steps a keyed number of places along a cycle of all values of the format, so none stays as it was, and it steps on
-until the value is valid where the original was (card checksum, address range, IBAN check). collisions() checks the outcome.
+of their script, class (vowel or consonant, where listed) and case, in any script; marks stay. Given names go to given names of the same gender
+and script. The permutation steps a keyed number of places along a cycle of all values of the format, so none stays as it was, and it steps on
+until the value is valid where the original was (card checksum, address range, IBAN check).
 
-Each row is rewritten for itself in one pass over whole texts, with nothing shuffled.
+Persons are found by a title before (or, in East Asian scripts, behind) a name in any script, by a listed given name before a capitalised word,
+and by phrases that announce a name. A name that nothing of the kind tells stays: there is no model of names here.
+
+Each row is rewritten for itself in one pass over whole texts, with nothing shuffled; checked() adds the collision check, one shuffle of hashed entities.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Titles with the gender they tell, and given names by gender and script.
-TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Sra", "Señora", "госпожа"), "m": ("Mr", "Mister", "Herr", "Monsieur", "Sr", "Señor", "господин"), "": ("Dr", "Prof")}
+from .common import checkpoint, small
+
+# Titles with the gender they tell, given names by gender and script, phrases before a name, family names and titles behind names of East Asian scripts.
+TITLES = {"f": ("Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Mme", "Mlle", "Madame", "Sra", "Srta", "Señora", "Señorita", "Signora", "Κυρία", "госпожа", "г-жа", "السيدة"),
+          "m": ("Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Sr", "Señor", "Don", "Signor", "Κύριος", "господин", "г-н", "السيد"), "": ("Dr", "Prof", "Professor", "Doctor", "Rev")}
 GIVEN = {
-    ("f", "latin"): ("Alice", "Anna", "Barbara", "Carmen", "Claire", "Elena", "Emily", "Emma", "Helen", "Ingrid", "Isabel", "Jane", "Julia", "Karen", "Laura", "Linda", "Lucia", "Maria", "Marie", "Mary", "Olivia", "Sarah", "Sophie", "Susan"),
-    ("m", "latin"): ("Albert", "Antonio", "Carlos", "Charles", "Daniel", "David", "François", "George", "Hans", "James", "John", "Jorge", "Karl", "Luis", "Michael", "Paul", "Peter", "Pierre", "Richard", "Robert", "Stefan", "Thomas", "Walter", "William"),
+    ("f", "latin"): ("Alice", "Amy", "Ana", "Angela", "Anna", "Barbara", "Beatriz", "Camille", "Carmen", "Carol", "Chloé", "Claire", "Claudia", "Diana", "Elena", "Elizabeth", "Emily", "Emma", "Eva", "Hannah", "Heike", "Helen", "Ingrid", "Isabel", "Jane", "Jennifer", "Jessica", "Juana", "Julia", "Julie", "Karen", "Laura", "Léa", "Linda", "Lucia", "Manon", "Maria", "Marie", "Marta", "Mary", "Monika", "Nancy", "Olivia", "Patricia", "Petra", "Pilar", "Rosa", "Ruth", "Sabine", "Sandra", "Sarah", "Sofia", "Sophie", "Susan", "Teresa", "Ursula"),
+    ("m", "latin"): ("Alan", "Albert", "Alejandro", "Andreas", "Andrew", "Antoine", "Antonio", "Benjamin", "Bernd", "Brian", "Carlos", "Charles", "Christian", "Daniel", "David", "Diego", "Edward", "Fernando", "François", "Frank", "George", "Hans", "Henri", "Jack", "Jacques", "James", "Javier", "Jean", "John", "Jorge", "José", "Juan", "Jürgen", "Karl", "Kevin", "Klaus", "Louis", "Luis", "Manuel", "Mark", "Matthew", "Michael", "Miguel", "Nicolas", "Oliver", "Pablo", "Paul", "Pedro", "Peter", "Pierre", "Ralf", "Richard", "Robert", "Stefan", "Steven", "Thomas", "Walter", "William", "Xavier"),
     ("f", "cyrillic"): ("Анна", "Вера", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Татьяна"),
     ("m", "cyrillic"): ("Алексей", "Андрей", "Борис", "Дмитрий", "Иван", "Михаил", "Николай", "Сергей"),
 }
+CUES = ("my name is", "his name is", "her name is", "Name:", "name:", "signed,", "Signed,", "Regards,", "regards,", "Sincerely,", "sincerely,", "heiße", "heißt", "m'appelle", "s'appelle", "me llamo", "se llama", "зовут")
+FAMILY_HAN, BEHIND_HAN, BEHIND_KANA, BEHIND_HANGUL = "王李张張刘劉陈陳杨楊赵趙黄黃周吴吳徐孙孫胡朱高林何郭马馬罗羅梁宋郑鄭谢謝韩韓唐冯馮于董萧蕭", ("先生", "女士", "小姐"), ("さん", "様", "氏"), ("씨", "님")
 #: Sets of letters within which letters are replaced: by script and class. Fixed values.
 LETTERS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "áéíóúàèùâêîôûäöüëï", "ñçß", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ")
 DIGITS = "0123456789"
@@ -44,8 +54,42 @@ PHONE = re.compile(r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[
 EMAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.A)
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A)
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-UP = r"[A-ZÀ-ÖØ-ÞА-Я]"
-PERSON = re.compile(rf"\b(?:({'|'.join(t for ts in TITLES.values() for t in ts)})\b\.? )?({UP}[\w'’-]*(?: {UP}[\w'’-]+)?)")
+CAPITAL, TAIL = r"[\p{Lu}\p{Lt}]", r"[\p{L}\p{M}\p{N}'’-]"
+#: After a title a name of any script; else capitalised words.
+PERSON = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:({'|'.join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))})\.?\s+([\p{{Lu}}\p{{Lt}}\p{{Lo}}]{TAIL}*)|({CAPITAL}{TAIL}*))((?:[ \xa0]{CAPITAL}{TAIL}*){{0,2}})")
+CUED = regex.compile(rf"(?<![\p{{L}}])(?:{'|'.join(map(re.escape, CUES))})\s+({CAPITAL}{TAIL}*(?:[ \xa0]{CAPITAL}{TAIL}*){{0,2}})")
+BEHIND = regex.compile(rf"([{FAMILY_HAN}]\p{{Han}}{{1,2}})(?={'|'.join(BEHIND_HAN)})|((?<!\p{{Han}})\p{{Han}}{{2,4}})(?={'|'.join(BEHIND_KANA)})|((?<!\p{{Hangul}})\p{{Hangul}}{{2,4}})(?= ?(?:{'|'.join(BEHIND_HANGUL)}))")
+MENTIONS = (*(t for ts in TITLES.values() for t in ts), *(x for n in NAME_OF for x in (n, n.upper())))
+
+
+@lru_cache(maxsize=100_000)
+def letters_like(c: str) -> str:
+    """The set within which a character is replaced: listed, or the letters or digits of its script, category and part of the code table; itself,
+    if it's neither. Lower-case letters without a capital of their own make one set."""
+    if c in SET_OF:
+        return SET_OF[c]
+    kind = unicodedata.category(c)
+    if kind[0] != "L" and kind != "Nd":
+        return c
+    script = unicodedata.name(c, "").split(" ")[0]
+    if kind == "Ll" and not paired(c):
+        own = unpaired(script)
+        return own if c in own and len(own) > 1 else unpaired("")
+    for width in (7, 12):
+        first = ord(c) >> width << width
+        own = [x for x in map(chr, range(first, first + (1 << width))) if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script and unicodedata.normalize("NFC", x) == x and x not in SET_OF and (kind != "Ll" or paired(x))]
+        if c in own and len(own) > 1:
+            return "".join(own)
+    return "".join(sorted({c, *(chr(ord(c) ^ 1),)})) if unicodedata.category(chr(ord(c) ^ 1)) == kind else c
+
+
+def paired(c: str) -> bool:
+    return len(c.upper()) == 1 and c.upper().lower() == c
+
+
+@lru_cache(maxsize=256)
+def unpaired(script: str) -> str:
+    return "".join(x for x in map(chr, range(0x80, 0x10000)) if unicodedata.category(x) == "Ll" and not paired(x) and x not in SET_OF and unicodedata.normalize("NFC", x) == x and unicodedata.name(x, "").startswith(script))
 
 
 def luhn(digits: str) -> bool:
@@ -97,9 +141,9 @@ class Key:
     def text(self, s: str, tweak: str, ok: Callable[[str], bool] | None = None) -> str:
         """Replaces each lower-case letter and digit within its set; ok is a property of s that the result must have too. Long texts,
         which only addresses and names have, go in pieces: a round makes 64 bytes at most."""
-        if len(s) > 200:
-            return "".join(self.text(s[i : i + 200], tweak) for i in range(0, len(s), 200))
-        sets = [SET_OF.get(c, c) for c in s]
+        if len(s) > 80:
+            return "".join(self.text(s[i : i + 80], tweak) for i in range(0, len(s), 80))
+        sets = [letters_like(c) for c in s]
         n = 1
         for x in sets:
             n *= len(x)
@@ -148,13 +192,13 @@ class Key:
             gender, *parts = canonical.split(" ")
             out = []
             for i, p in enumerate(parts):
-                if i == 0 and len(parts) > 1 or p in NAME_OF:
-                    group = NAME_OF.get(p)
-                    if group:
-                        names = GIVEN[group[0]]
-                        out.append(names[self.number(group[1], len(names), "".join(group[0]))])
-                        continue
-                out.append(recased(p, self.text(p.lower(), "name", lambda s: s.capitalize() not in NAME_OF)))
+                group = NAME_OF.get(p) or p.isupper() and NAME_OF.get(p.capitalize())
+                if group:
+                    names = GIVEN[group[0]]
+                    made = names[self.number(group[1], len(names), "".join(group[0]))]
+                    out.append(made.upper() if p.isupper() else made)
+                else:
+                    out.append(recased(p, self.text(lowered(p), "name", lambda s: s.capitalize() not in NAME_OF)))
             return " ".join(out)
         return self.text(canonical, kind)
 
@@ -165,8 +209,13 @@ class Key:
         return [a] if a in special else [x for x in range(1, 224) if x not in special] if a < 224 else list(range(224, 256))
 
 
+def lowered(s: str) -> str:
+    """Lower case, character by character: none becomes two."""
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
+
+
 def recased(like: str, s: str) -> str:
-    return "".join(b.upper() if a.isupper() else b for a, b in zip(like, s, strict=True))
+    return "".join(b.upper() if a.isupper() and len(b.upper()) == 1 else b for a, b in zip(like, s, strict=True))
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -194,21 +243,26 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for m in IBAN.finditer(text):
         if sum(c.isdigit() for c in m.group()) >= 8:
             found.append((m.start(), m.end(), 5, "iban", m.group().replace(" ", "")))
-    if any(t in text for t in TITLE_OF) or any(n in text for n in NAME_OF):
+    if any(t in text for t in MENTIONS):
         m = PERSON.search(text)
         while m:
-            title, name = m.groups()
-            parts = name.split(" ")
-            # a second word that isn't taken may begin a name itself, and so may a second title
-            after = m.start(2) + (0 if title and parts[0] in TITLE_OF else len(parts[0]))
-            if parts[-1] in TITLE_OF:
-                del parts[1:]
-            given = NAME_OF.get(parts[0])
-            if (title or given and len(parts) > 1) and parts[0] not in TITLE_OF:
-                gender = given[0][0] if given else TITLE_OF.get(title, "")
-                after = m.start(2) + len(" ".join(parts))
-                found.append((m.start(2), after, 6, "person", " ".join([gender, *parts])))
+            title, after_title, word, more = m.groups()
+            name = after_title or word
+            given = NAME_OF.get(name) or NAME_OF.get(name.capitalize()) if name.isupper() or name in NAME_OF else None
+            begin = m.start(2) if after_title else m.start(3)
+            parts = [name, *more.split()]
+            cut = next((i for i, p in enumerate(parts) if i and p in TITLE_OF), len(parts))  # a title begins the next name
+            end = begin + len(name) if cut == 1 else m.start(4) + len(more) if cut == len(parts) else text.index(parts[cut], begin + len(name)) - 1
+            if name not in TITLE_OF and (title or given and cut > 1):
+                found.append((begin, end, 6, "person", " ".join([given[0][0] if given else TITLE_OF.get(title, ""), *parts[:cut]])))
+                after = end
+            else:
+                after = begin + (0 if title and name in TITLE_OF else len(name))  # a word that isn't taken may stand before a name
             m = PERSON.search(text, after)
+    if any(c in text for c in CUES):
+        found += [(m.start(1), m.end(1), 7, "person", " ".join(["", *m[1].split()])) for m in CUED.finditer(text)]
+    if not text.isascii():
+        found += [(m.start(), m.end(), 8, "person", f" {m.group()}") for m in BEHIND.finditer(text)]
     out, last = [], -1
     for start, end, _, kind, canonical in sorted(found, key=lambda x: (x[0], x[2], -x[1])):
         if start >= last:
@@ -221,7 +275,10 @@ def dressed(original: str, kind: str, canonical: str, made: str) -> str:
     """The surrogate of the canonical form in the format of the original."""
     if kind == "email":
         return recased(original, made)
-    if kind in ("ipv4", "person"):
+    if kind == "person":
+        parts = iter(made.split(" "))
+        return "".join(x if x.isspace() else next(parts) for x in re.split(r"(\s)", original))
+    if kind == "ipv4":
         return made
     symbols = iter(made)
     wanted = "0123456789+" if kind != "iban" else "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -265,14 +322,36 @@ def replace_pii(docs: DataFrame, secret: bytes, text_col: str = "text") -> DataF
     return out.select(*[F.col(back[c]).alias(c) for c in docs.columns], F.col("_e").alias("entities"))
 
 
+def told_apart(replaced: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, kind, original, surrogate) hashes of the entities of replace_pii(). A surrogate is compared without its format, a person's in lower case, as its original is."""
+    e = replaced.select(*keep, F.explode("entities").alias("e")).select(*keep, "e.kind", "e.original", "e.surrogate")
+    person = F.col("kind") == "person"
+    bare = F.when(person, F.lower("surrogate")).otherwise(F.regexp_replace(F.lower("surrogate"), "[ ().-]", ""))
+    own = F.when(person, F.lower(F.regexp_replace("original", "^[fm]? ", ""))).otherwise(F.when(F.col("kind").isin("email", "ipv4"), F.regexp_replace(F.lower("original"), "[ ().-]", "")).otherwise(F.lower("original")))
+    return e.select(*keep, "kind", F.xxhash64("kind", own).alias("original"), F.xxhash64("kind", bare).alias("surrogate"))
+
+
 def collisions(replaced: DataFrame) -> DataFrame:
-    """(kind, n) of surrogates that stand for two entities or more, from replace_pii(): none, if all is well. One shuffle of the entities."""
-    e = replaced.select(F.explode("entities").alias("e")).select("e.kind", "e.original", F.regexp_replace(F.lower("e.surrogate"), "[ ().-]", "").alias("s"))
-    e = e.where(F.col("kind") != "person").distinct()
-    return e.groupBy("kind", "s").agg(F.count("*").alias("n")).where("n > 1").select("kind", "n")
+    """(kind, surrogate, n) of hashed surrogates that stand for two entities or more: none, if all is well. Sums and ends of hashes are combined before
+    the shuffle, so a hot entity costs a row a task."""
+    e = told_apart(replaced).groupBy("kind", "surrogate").agg(F.min("original").alias("lo"), F.max("original").alias("hi"))
+    return e.where("lo <> hi").select("kind", "surrogate")
+
+
+def checked(replaced: DataFrame) -> DataFrame:
+    """replace_pii()'s rows and n_collisions, how many of a row's entities have a surrogate that stands for another entity of the corpus too.
+
+    No such row may be published under this key. The rows are computed twice, once for the check."""
+    shared, _ = small(checkpoint(collisions(replaced)))
+    rows = replaced.withColumn("_row", F.monotonically_increasing_id())
+    if shared.isEmpty():
+        return replaced.withColumn("n_collisions", F.lit(0).cast("long"))
+    rows = checkpoint(rows)
+    n = told_apart(rows, "_row").join(shared, ["kind", "surrogate"]).groupBy("_row").agg(F.count("*").alias("n_collisions"))
+    return rows.join(n, "_row", "left").withColumn("n_collisions", F.coalesce("n_collisions", F.lit(0).cast("long"))).drop("_row")
 
 
 def digest(replaced: DataFrame) -> DataFrame:
-    """The columns of the query: the new text, and each entity's kind and place."""
+    """The columns of the query: the new text, each entity's kind and place, and the outcome of the collision check."""
     place = F.transform("entities", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
-    return replaced.select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.array_join(place, ",").alias("spans"), "text")
+    return checked(replaced).select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.array_join(place, ",").alias("spans"), "text", "n_collisions")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers as public
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 from . import ann, decontaminate, jaccard_join, language_id, line_dedup, packing, pii, quality, secret_scan, url_filter
 from .common import table
 
-#: Of the surrogates; a deployment sets its own.
-PII_SECRET = b"loomspan surrogate key"
+#: Of the surrogates, where spark.loomspan.pii.key names none: a new one each process, which nobody can invert them by afterwards.
+_PII_KEY = secrets.token_bytes(32)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.replace_pii(table(spark, sf_dir, "documents"), PII_SECRET))
+    return pii.digest(pii.replace_pii(table(spark, sf_dir, "documents"), spark.conf.get("spark.loomspan.pii.key", "").encode() or _PII_KEY))
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_decontaminate, op4_language_id, op5_anisotropic_ann, op6_harmonic_packing, op7_ngram_jaccard, op8_url_filter, op9_quality, op10_pii_surrogates)}

@@ -253,3 +253,20 @@ def test_an_email_is_found_from_its_beginning():
     made = pii.Key(b"k").surrogate("email", long)
     assert len(made) == len(long) and made != pii.Key(b"k").surrogate("email", "z" + long[1:])
     assert all(made[i : i + 200] != long[i : i + 200] for i in range(0, 800, 200)) and re.sub(r"\d", "0", made)[1:800:2] == "0" * 400
+
+
+def test_names_beyond_lists_and_in_other_scripts():
+    texts = ["Mr Øæ here", "Mrs Å", "Herr Łoś", "Mr Ωμέγα", "Xavier Dupont", "JOHN SMITH went", "Mr Þór", "王小明先生", "田中さん", "김철수 씨", "السيد محمد", "my name is Zorblax Quux.", "Jean\xa0Valjean"]
+    key = pii.Key(b"x")
+    for t, name in zip(texts, ["Øæ", "Å", "Łoś", "Ωμέγα", "Xavier Dupont", "JOHN SMITH", "Þór", "王小明", "田中", "김철수", "محمد", "Zorblax Quux", "Jean\xa0Valjean"], strict=True):
+        ((a, b, kind, canonical),) = pii.find(t)
+        new = pii.dressed(t[a:b], kind, canonical, key.surrogate(kind, canonical))
+        assert t[a:b] == name and kind == "person" and not set(re.split(r"\s", name)) & set(re.split(r"\s", new))
+
+
+def test_colliding_surrogates_are_told(spark):
+    kind = "array<struct<start: long, end: long, kind: string, original: string, surrogate: string>>"
+    e = lambda o, s, k="ssn": (0, 1, k, o, s)
+    d = spark.createDataFrame([(1, "a", [e("111", "9-9 9"), e("222", "888")]), (2, "b", [e("333", "999")]), (3, "c", [e("222", "888"), e("m John", "Karl", "person"), e("f Ann", "karl", "person")]), (4, None, [])], f"doc_id long, text string, entities {kind}")
+    assert {r.doc_id: r.n_collisions for r in pii.checked(d).collect()} == {1: 1, 2: 1, 3: 2, 4: 0}
+    assert {r.n_collisions for r in pii.digest(d.where("doc_id = 4")).collect()} == {0}

@@ -1,4 +1,5 @@
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,22 @@ def test_surrogates_are_distinct_and_never_the_original(kind, data):
     assert len(set(made)) == len(some) and all(a != b and len(a) == len(b) for a, b in zip(some, made, strict=True))
 
 
+WORD = st.one_of(*[st.text(st.characters(categories=c, min_codepoint=a, max_codepoint=b), min_size=1, max_size=12) for c, a, b in (
+    (["Lu", "Ll"], 0x41, 0x24F), (["Lu", "Ll"], 0x370, 0x3FF), (["Lu", "Ll"], 0x400, 0x52F), (["Lo"], 0x5D0, 0x5EA), (["Lo"], 0x620, 0x64A), (["Lo"], 0x4E00, 0x9FFF), (["Lo"], 0xAC00, 0xD7A3), (["Lo"], 0x904, 0x939))])
+
+
+@few
+@given(st.lists(WORD, min_size=2, max_size=6, unique=True), st.sampled_from("fm"))
+def test_names_of_any_script_change_and_stay_apart(names, gender):
+    key = pii.Key(b"k")
+    made = [key.surrogate("person", f"{gender} {n}") for n in names]
+    assert len(set(made)) == len(names)
+    for n, m in zip(names, made, strict=True):
+        if n not in pii.NAME_OF:
+            assert n != m and len(n) == len(m)
+            assert [unicodedata.name(c).split(" ")[0] for c in n] == [unicodedata.name(c).split(" ")[0] for c in m]
+
+
 @few
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=20).map(" ".join), max_size=4), st.integers(2, 5))
 def test_every_window_has_a_probe(items, size):
