@@ -1,7 +1,7 @@
 """Text functions as Column expressions: search normalisation, tokens, character trigrams, hashed features, overlaps, languages.
 
 All but NFC run inside the JVM. NFC has no built-in; every character below U+0300 is stable under it, so only rows with others
-go through an Arrow UDF (compose()), once, when a corpus is bound.
+go through an Arrow UDF (compose()). search_form() applies it before the rest; the others take texts that are NFC already.
 """
 
 from __future__ import annotations
@@ -66,6 +66,11 @@ def normalize_for_search(text: Column) -> Column:
     return F.lower(normalize(text))
 
 
+def search_form(text: Column) -> Column:
+    """normalize_for_search() of a text in any normal form. Not for use within lambdas, as composing takes an Arrow UDF."""
+    return normalize_for_search(compose(text))
+
+
 def tokens(normal: Column) -> Column:
     """Of a normalised text."""
     return F.filter(F.split(normal, " "), lambda t: t != "")

@@ -23,6 +23,28 @@ def summary(metrics: DataFrame) -> DataFrame:
     return metrics.agg(F.count("*").alias("n_queries"), mean("precision").alias("precision"), mean("recall").alias("recall"), mean("reciprocal_rank").alias("mrr"), F.coalesce(F.sum((F.col("reciprocal_rank") > 0).cast("long")), F.lit(0)).alias("hits"))
 
 
+def citation_accuracy(citations: DataFrame, checks: DataFrame) -> DataFrame:
+    """(answer_id, n_citations, accuracy): the share of an answer's citations without problems, of citations(answer_id, cid) and
+    grounding.validate_citations(); 0 where no citation has a check."""
+    ok = checks.select("cid", (F.size("problems") == 0).cast("long").alias("_ok"))
+    out = citations.join(ok, "cid", "left").groupBy("answer_id").agg(F.count("_ok").alias("n_citations"), F.sum("_ok").alias("_good"))
+    return out.select("answer_id", "n_citations", F.when(F.col("n_citations") > 0, F.col("_good") / F.col("n_citations")).otherwise(0.0).alias("accuracy"))
+
+
+def evaluate(metrics: DataFrame, accuracy: DataFrame, grounded: DataFrame, kept: DataFrame, coverage: DataFrame) -> DataFrame:
+    """One row of means over the gold queries: (n_queries, precision, recall, mrr, citation_accuracy, hallucination, synth_kept_rate, source_coverage).
+
+    metrics is gold_metrics(), accuracy citation_accuracy(), grounded grounding.answer_grounding(), kept(answer_id, grounded) tells the answers whose
+    written summary was kept, coverage is source_coverage(). A query without an answer counts 0 in what is measured on answers."""
+    rows = metrics.select(F.col("query_id").alias("answer_id"), "precision", "recall", "reciprocal_rank")
+    rows = rows.join(accuracy.select("answer_id", "accuracy"), "answer_id", "left").join(grounded.select("answer_id", "hallucination"), "answer_id", "left")
+    rows = rows.join(kept.select("answer_id", F.col("grounded").cast("double").alias("kept")), "answer_id", "left")
+    mean = lambda c, name: F.round(F.coalesce(F.avg(F.coalesce(c, F.lit(0.0))), F.lit(0.0)), 6).alias(name)
+    names = {"precision": "precision", "recall": "recall", "reciprocal_rank": "mrr", "accuracy": "citation_accuracy", "hallucination": "hallucination", "kept": "synth_kept_rate"}
+    out = rows.agg(F.count("*").alias("n_queries"), *[mean(c, n) for c, n in names.items()])
+    return out.crossJoin(coverage.select(F.round("coverage", 6).alias("source_coverage")))  # a row with a row
+
+
 def source_coverage(corpus: DataFrame, registry: DataFrame) -> DataFrame:
     """(registered, covered, coverage)."""
     present = corpus.select("source_id").distinct().withColumn("_p", F.lit(1))

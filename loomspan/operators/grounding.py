@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.citations import given, is_complete, reference
+from ..functions.citations import given, is_complete, rank, reference
 
 
 def unknown_sources(citations: DataFrame, registry: DataFrame) -> DataFrame:
@@ -65,6 +65,42 @@ def answer_grounding(best: DataFrame, least: float = 0.25) -> DataFrame:
     return out.withColumn("grounded", F.col("n_weak") == 0).withColumn("hallucination", F.round(F.col("n_weak") / F.col("n_claims"), 9))
 
 
+def judge(claims: DataFrame, passages: DataFrame, least: float = 0.2) -> DataFrame:
+    """(answer_id, claim_no, support, supported): each claim's largest share of content words in one passage of its answer; 0 without passages.
+
+    claims(answer_id, claim_no, normal), passages(answer_id, normal), as for best_overlaps(). A model's judgement has the same columns."""
+    held = passages.groupBy("answer_id").agg(F.collect_list(X.content_tokens(F.col("normal"))).alias("_p"))
+    own = claims.select("answer_id", "claim_no", X.content_tokens(F.col("normal")).alias("_t")).join(held, "answer_id", "left")
+    best = F.aggregate(F.coalesce("_p", F.array().cast("array<array<string>>")), F.lit(0.0), lambda m, p: F.greatest(m, X.content_overlap(F.col("_t"), p)))
+    return own.select("answer_id", "claim_no", best.alias("support")).withColumn("supported", F.col("support") >= least)
+
+
+def verdicts(reply: Column, n: Column) -> Column:
+    """Array of n booleans out of a model's lines such as `2: supported`; what no line names isn't supported, the last line on a claim holds."""
+    lines = F.split(reply, r"\r?\n")
+    line = r"(?i)^\s*(\d{1,9})\s*[:.)-]\s*(supported|unsupported)\b.*$"
+    said = F.transform(F.filter(lines, lambda x: x.rlike(line)), lambda x: F.struct(F.regexp_extract(x, line, 1).cast("int").alias("no"), (F.lower(F.regexp_extract(x, line, 2)) == "supported").alias("yes")))
+    last = lambda i: F.element_at(F.filter(said, lambda s: s["no"] == i), -1)["yes"]
+    one = lambda i: F.when(F.exists(said, lambda s: s["no"] == i), last(i)).otherwise(F.lit(False))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.coalesce(one(i), F.lit(False)))).otherwise(F.array().cast("array<boolean>"))
+
+
+def answer_report(best: DataFrame, claims: DataFrame, citations: DataFrame, checks: DataFrame, least: float = 0.25) -> DataFrame:
+    """(answer_id, n_claims, n_weak, n_overstated, n_citation_problems, grounded) of answers with claims.
+
+    An answer is grounded if no claim's overlap is under `least`, none of medium or high confidence lacks a complete citation, and no citation
+    has a problem. best is best_overlaps(), claims(answer_id, claim_no, confidence), citations(answer_id, claim_no, cid), checks
+    validate_citations() of the cids; a cid without a check is no citation. An answer without claims isn't in best, and so not grounded."""
+    keys = ["answer_id", "claim_no"]
+    judged = checks.select("cid", "complete", F.size("problems").cast("long").alias("n"))
+    cited = citations.join(judged, "cid").groupBy(*keys).agg(F.max("complete").alias("complete"), F.sum("n").alias("problems"))
+    rows = best.join(claims, keys, "left").join(cited, keys, "left")
+    overstated = F.coalesce((rank(F.col("confidence")) >= 2) & ~F.coalesce("complete", F.lit(False)), F.lit(False))
+    count = lambda c: F.sum(c.cast("long"))
+    out = rows.groupBy("answer_id").agg(F.count("*").alias("n_claims"), count(F.col("best") < least).alias("n_weak"), count(overstated).alias("n_overstated"), F.sum(F.coalesce("problems", F.lit(0).cast("long"))).alias("n_citation_problems"))
+    return out.withColumn("grounded", F.col("n_weak") + F.col("n_overstated") + F.col("n_citation_problems") == 0)
+
+
 def marker_check(text: Column, n: Column) -> tuple[Column, Column]:
     """(invented, valid) distinct sorted markers of a text, given how many passages it may cite."""
     own = F.array_sort(F.array_distinct(X.markers(text)))

@@ -21,6 +21,8 @@ from ..functions.citations import bonus, rank
 from . import features
 
 DIM = 2048
+# The evidence sections of an outline, in order.
+SECTIONS = {"quran": "Qur'anic Foundations", "tafsir": "Tafsir & Commentary", "hadith": "Hadith Foundations", "historical": "Historical Context", "scholarly_opinion": "Scholarly Analysis"}
 
 
 def feature_rows(rows: DataFrame, prefixed: bool = True) -> DataFrame:
@@ -160,14 +162,21 @@ def merge_parts(retrieved: DataFrame, parts: DataFrame, k: int = 6, floor: float
 
 def lecture_sections(sims: DataFrame, corpus: DataFrame, depth: int = 4) -> DataFrame:
     """(query_id, section, rank, id, score): the five evidence sections of a topic's outline."""
-    kinds = {"quran": "Qur'anic Foundations", "tafsir": "Tafsir & Commentary", "hadith": "Hadith Foundations", "historical": "Historical Context", "scholarly_opinion": "Scholarly Analysis"}
-    meta = corpus.where(F.col("evidence_type").isin(*kinds)).select("id", "evidence_type", "confidence")
+    meta = corpus.where(F.col("evidence_type").isin(*SECTIONS)).select("id", "evidence_type", "confidence")
     found = sims.join(meta, "id").withColumn("score", F.round(F.col("similarity") + bonus(F.col("confidence")), 9))
     found = top(found, max(25 * depth, 200), F.col("similarity"), ("query_id", "evidence_type"), name="_c")
-    title = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("evidence_type"))
+    title = F.element_at(F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv]), F.col("evidence_type"))
     return top(found, depth, F.col("score"), ("query_id", "evidence_type")).select("query_id", title.alias("section"), "rank", "id", "score")
 
 
+def reading_list(sections: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, place, source_id): a topic's distinct sources in the order first seen, section by section. sections is lecture_sections()."""
+    order = F.create_map(*[x for i, s in enumerate(SECTIONS.values()) for x in (F.lit(s), F.lit(i))])
+    seen = sections.join(corpus.select("id", "source_id"), "id").groupBy("query_id", "source_id").agg(F.min(F.struct(F.element_at(order, F.col("section")), "rank", "id")).alias("at"))
+    w = Window.partitionBy("query_id").orderBy("at", "source_id")
+    return seen.select("query_id", F.row_number().over(w).alias("place"), "source_id")
+
+
 def lecture_pool(sections: DataFrame, depth: int = 4) -> DataFrame:
     """(query_id, rank, id, score): a topic's evidence pooled, each passage once, the best 2 * depth."""
     once = sections.groupBy("query_id", "id").agg(F.max("score").alias("score"))

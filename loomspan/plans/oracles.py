@@ -214,3 +214,18 @@ s AS (SELECT volume, number, lag(number) OVER (PARTITION BY volume ORDER BY doc_
 
 ALL_VERSES = f"asks AS (SELECT 'v' || surah || ':' || ayah AS id, {norm('text')} AS n, id AS own, surah || ':' || ayah AS ref FROM corpus WHERE surah IS NOT NULL)"
 ORACLES["crossref_links_all"] = ORACLES["crossref_links"].replace(VERSES, ALL_VERSES)
+
+CLAIM_CITED = f"""cc AS (SELECT DISTINCT answer_id, claim_no, 'doc_' || (answer_id * 7 + claim_no) AS cid FROM cl),
+v AS (SELECT cid, complete, (NOT complete)::INT + (NOT source_known)::INT + coalesce((NOT found)::INT, 0) AS n FROM (SELECT *, {COMPLETE} AS complete, source_id IN (SELECT source_id FROM registry) AS source_known FROM pe)),
+ck AS (SELECT cc.*, v.complete, v.n, {RANK} AS level FROM cc LEFT JOIN v USING (cid) LEFT JOIN corpus ON corpus.id = cc.cid)"""
+CHECKED = f"{TURNS}, {CORPUS}, {CITED}, {EXISTS}, {REGISTRY}, {CLAIM_CITED}"
+_WEAK, _OVER, _CITED = "sum((best < 0.25)::INT)", "sum(coalesce((level >= 2 AND NOT coalesce(complete, FALSE))::INT, 0))", "sum(coalesce(n, 0))"
+ORACLES["answer_report"] = f"""WITH {CHECKED} SELECT answer_id, count(*) AS n_claims, {_WEAK}::BIGINT AS n_weak, {_OVER}::BIGINT AS n_overstated, {_CITED}::BIGINT AS n_citation_problems,
+  {_WEAK} + {_OVER} + {_CITED} = 0 AS grounded FROM best LEFT JOIN ck USING (answer_id, claim_no) GROUP BY 1"""
+ORACLES["citation_accuracy"] = f"WITH {CHECKED} SELECT answer_id, count(n) AS n_citations, coalesce(round(sum((n = 0)::INT)::DOUBLE / nullif(count(n), 0), 6), 0.0) AS accuracy FROM ck GROUP BY 1"
+ORACLES["judge_claims"] = f"""WITH {TURNS}, j AS (SELECT cl.answer_id, claim_no, {content('cl.n')} AS c, CASE WHEN pa.n IS NOT NULL THEN {content('pa.n')} END AS p FROM cl LEFT JOIN pa USING (answer_id)),
+b AS (SELECT answer_id, claim_no, max(CASE WHEN p IS NULL THEN 0.0 WHEN len(c) = 0 THEN 1.0 ELSE {common('c', 'p')}::DOUBLE / len(c) END) AS support FROM j GROUP BY 1, 2)
+SELECT answer_id, claim_no, round(support, 6) AS support, support >= 0.2 AS supported FROM b"""
+_ORDER = "CASE section " + " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(SECTIONS.values())) + " END"
+ORACLES["reading_list"] = f"""WITH {sims()}, {LECTURE}, fs AS (SELECT query_id, source_id, {_ORDER} AS o, rank, ls.id FROM ls JOIN corpus USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, source_id ORDER BY o, rank, ls.id) = 1)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY o, rank, id, source_id)::INT AS place, source_id FROM fs"""

@@ -19,7 +19,7 @@ _INDEXES: dict[tuple, str] = {}
 
 
 def _normal(df: DataFrame, key: str = "id") -> DataFrame:
-    return df.select(F.col(key).alias("id"), X.normalize_for_search(F.coalesce("text", F.lit(""))).alias("normal"))
+    return df.select(F.col(key).alias("id"), X.search_form(F.coalesce("text", F.lit(""))).alias("normal"))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> retrieval.TfidfIndex:
@@ -150,7 +150,7 @@ def lecture_pool(spark, sf_dir):
 
 def _crossref(spark, sf_dir, first_only):
     corpus = bind(spark, sf_dir)
-    with_normal = corpus.withColumn("normal", X.normalize_for_search(F.coalesce("text", F.lit(""))))
+    with_normal = corpus.withColumn("normal", X.search_form(F.coalesce("text", F.lit(""))))
     verses = with_normal.where(F.col("surah").isNotNull())
     query_id = F.concat(F.lit("v"), F.concat_ws(":", "surah", "ayah"))
     if first_only:
@@ -209,8 +209,8 @@ def source_coverage(spark, sf_dir):
 
 def _turns(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("answer_id"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    claims = t.where("role = 'assistant'").select("answer_id", F.col("turn").alias("claim_no"), X.normalize_for_search(F.col("text")).alias("normal"))
-    passages = t.where("role <> 'assistant'").select("answer_id", X.normalize_for_search(F.col("text")).alias("normal"))
+    claims = t.where("role = 'assistant'").select("answer_id", F.col("turn").alias("claim_no"), X.search_form(F.col("text")).alias("normal"))
+    passages = t.where("role <> 'assistant'").select("answer_id", X.search_form(F.col("text")).alias("normal"))
     return claims, passages
 
 
@@ -229,6 +229,53 @@ def answer_grounding(spark, sf_dir):
     return _six(grounding.answer_grounding(grounding.best_overlaps(*_turns(spark, sf_dir))))
 
 
+def judge_claims(spark, sf_dir):
+    return _six(grounding.judge(*_turns(spark, sf_dir)))
+
+
+def _claim_citations(spark, sf_dir):
+    """Each assistant turn cites one passage by number, with that passage's level as its own; some cite passages that aren't there."""
+    claims = _turns(spark, sf_dir)[0].select("answer_id", "claim_no").distinct()
+    cited = claims.withColumn("cid", F.concat(F.lit("doc_"), (F.col("answer_id") * 7 + F.col("claim_no")).cast("string")))
+    levels = bind(spark, sf_dir).select(F.col("id").alias("cid"), "confidence")
+    return cited.join(levels, "cid", "left")
+
+
+def _checks(spark, sf_dir):
+    return grounding.validate_citations(_cited(spark, sf_dir), registry(spark, sf_dir), bind(spark, sf_dir))
+
+
+def answer_report(spark, sf_dir):
+    cited = _claim_citations(spark, sf_dir)
+    return grounding.answer_report(grounding.best_overlaps(*_turns(spark, sf_dir)), cited.select("answer_id", "claim_no", "confidence"), cited.select("answer_id", "claim_no", "cid"), _checks(spark, sf_dir))
+
+
+def citation_accuracy(spark, sf_dir):
+    return _six(evaluation.citation_accuracy(_claim_citations(spark, sf_dir).select("answer_id", "cid"), _checks(spark, sf_dir)))
+
+
+def evaluate(spark, sf_dir):
+    """All measures over the gold queries: passages found without filters, and answers made of those of low confidence or more."""
+    corpus, k = bind(spark, sf_dir), 6
+    texts = corpus.select("id", "text", X.search_form(F.coalesce("text", F.lit(""))).alias("normal"))
+    sims = _sims(spark, sf_dir, retrieval.candidates(k, True))
+    found = retrieval.retrieve(sims, corpus, k=k, compat=True)
+    said = retrieval.retrieve(sims, corpus, k=k, least="low", compat=True).where("similarity >= 0.15")
+    claims = said.select(F.col("query_id").alias("answer_id"), F.col("rank").alias("claim_no"), "id").join(texts, "id")
+    passages = found.select(F.col("query_id").alias("answer_id"), "rank", "id").join(texts, "id")
+    grounded = grounding.answer_grounding(grounding.best_overlaps(claims, passages))
+    accuracy = evaluation.citation_accuracy(claims.select("answer_id", F.col("id").alias("cid")), _checks(spark, sf_dir))
+    held = claims.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("claim_no", "text"))).alias("p"))
+    written = held.select("answer_id", answers.extract(F.col("p")).alias("text"), F.transform("p", lambda x: x["text"]).alias("passages"))
+    kept = grounding.verify_synthesis(written).select("answer_id", "grounded")
+    return evaluation.evaluate(evaluation.gold_metrics(found, _gold(spark, sf_dir), k), accuracy, grounded, kept, evaluation.source_coverage(corpus, registry(spark, sf_dir)))
+
+
+def reading_list(spark, sf_dir):
+    sections = lecture_sections(spark, sf_dir)
+    return retrieval.reading_list(sections, bind(spark, sf_dir).select("id", "source_id"))
+
+
 def hallucination_rate(spark, sf_dir):
     g = grounding.answer_grounding(grounding.best_overlaps(*_turns(spark, sf_dir)))
     return g.agg(F.count("*").alias("answers"), F.sum("n_weak").alias("weak"), F.round(F.avg("hallucination"), 6).alias("rate"))
@@ -236,7 +283,7 @@ def hallucination_rate(spark, sf_dir):
 
 def _synthesised(spark, sf_dir):
     """Answers: a conversation's assistant turns, each followed by a marker; passages: its other turns."""
-    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("answer_id"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("answer_id"), "turn", "role", X.compose(F.coalesce("text", F.lit(""))).alias("text"))
     said = t.where("role = 'assistant'").groupBy("answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.concat(x["text"], F.lit(" ["), x["turn"].cast("string"), F.lit("]."))), " ").alias("text"))
     rest = t.where("role <> 'assistant'").groupBy("answer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("passages"))
     return said.join(rest, "answer_id", "left").withColumn("passages", F.coalesce("passages", F.array().cast("array<string>")))
@@ -388,6 +435,6 @@ def trusted_volumes(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     normalize_text, token_counts, char_trigram_counts, feature_hash_buckets, idf_table, tfidf_topk, hashing_topk, dense_topk, confidence_rerank, retrieve_filtered_compat, retrieve_filtered_exact,
     consensus_by_source, compare_sources, multi_part_merge, extractive_answers, question_parts, lecture_sections, lecture_pool, crossref_links, crossref_links_all, citation_completeness, reference_string, unknown_sources, passage_exists, validate_citations,
-    source_coverage, claim_overlap, content_overlap, answer_grounding, hallucination_rate, verify_markers, verify_synthesis, detect_language, language_mix, dedupe_documents, near_duplicate_keys,
+    source_coverage, claim_overlap, content_overlap, answer_grounding, judge_claims, answer_report, citation_accuracy, evaluate, reading_list, hallucination_rate, verify_markers, verify_synthesis, detect_language, language_mix, dedupe_documents, near_duplicate_keys,
     chunk_text, facets, source_types, top_narrators, narrator_lookup, narrator_profile, grade_summary, source_score, review_queue, manifest_status, iteration_deltas, gold_metrics, mrr, export_parts,
     page_text, isolated_numbers, increasing_refs, page_fill, trusted_volumes)}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.text import normalize_for_search
+from ..functions.text import search_form
 from ..operators.corpus_ops import only_new
 from ..operators.retrieval import TfidfIndex
 from ..sources.corpus import DOCUMENT
@@ -43,5 +43,5 @@ def append_new(stream: DataFrame, corpus_path: str, checkpoint: str) -> Streamin
 
 def rebuild(spark: SparkSession, corpus_path: str, index_path: str) -> TfidfIndex:
     """The index of all documents appended so far."""
-    rows = spark.read.parquet(corpus_path).select("id", normalize_for_search(F.coalesce("text", F.lit(""))).alias("normal"))
+    rows = spark.read.parquet(corpus_path).select("id", search_form(F.coalesce("text", F.lit(""))).alias("normal"))
     return TfidfIndex.build(rows, index_path)
