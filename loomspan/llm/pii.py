@@ -54,6 +54,7 @@ PHONE = re.compile(r"(?<![\d.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[
 EMAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.A)
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.A)
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+COMMON = regex.compile(r"\p{Script=Common}")
 CAPITAL, TAIL = r"[\p{Lu}\p{Lt}]", r"[\p{L}\p{M}\p{N}'’-]"
 #: After a title a name of any script; else capitalised words.
 PERSON = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:({'|'.join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))})\.?\s+([\p{{Lu}}\p{{Lt}}\p{{Lo}}]{TAIL}*)|({CAPITAL}{TAIL}*))((?:[ \xa0]{CAPITAL}{TAIL}*){{0,2}})")
@@ -65,22 +66,29 @@ MENTIONS = (*(t for ts in TITLES.values() for t in ts), *(x for n in NAME_OF for
 @lru_cache(maxsize=100_000)
 def letters_like(c: str) -> str:
     """The set within which a character is replaced: listed, or the letters or digits of its script, category and part of the code table; itself,
-    if it's neither. Lower-case letters without a capital of their own make one set."""
+    if it's neither or alone there. A script's lower-case letters without a capital of their own make one set; letters that Unicode gives to
+    no one script (Common, such as the micro sign) are replaced among themselves."""
     if c in SET_OF:
         return SET_OF[c]
     kind = unicodedata.category(c)
     if kind[0] != "L" and kind != "Nd":
         return c
-    script = unicodedata.name(c, "").split(" ")[0]
-    if kind == "Ll" and not paired(c):
+    script = script_of(c)
+    if kind == "Ll" and (script == "Common" or not paired(c)):
         own = unpaired(script)
-        return own if c in own and len(own) > 1 else unpaired("")
+        return own if c in own else c
     for width in (7, 12):
         first = ord(c) >> width << width
-        own = [x for x in map(chr, range(first, first + (1 << width))) if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == script and unicodedata.normalize("NFC", x) == x and x not in SET_OF and (kind != "Ll" or paired(x))]
+        own = [x for x in map(chr, range(first, first + (1 << width))) if unicodedata.category(x) == kind and script_of(x) == script and unicodedata.normalize("NFC", x) == x and x not in SET_OF and (kind != "Ll" or paired(x))]
         if c in own and len(own) > 1:
             return "".join(own)
-    return "".join(sorted({c, *(chr(ord(c) ^ 1),)})) if unicodedata.category(chr(ord(c) ^ 1)) == kind else c
+    other = chr(ord(c) ^ 1)
+    return "".join(sorted((c, other))) if unicodedata.category(other) == kind and script_of(other) == script else c
+
+
+def script_of(c: str) -> str:
+    """Common by its Unicode property, else the word that the names of a script's characters begin with."""
+    return "Common" if COMMON.match(c) else unicodedata.name(c, "").split(" ")[0]
 
 
 def paired(c: str) -> bool:
@@ -89,7 +97,7 @@ def paired(c: str) -> bool:
 
 @lru_cache(maxsize=256)
 def unpaired(script: str) -> str:
-    return "".join(x for x in map(chr, range(0x80, 0x10000)) if unicodedata.category(x) == "Ll" and not paired(x) and x not in SET_OF and unicodedata.normalize("NFC", x) == x and unicodedata.name(x, "").startswith(script))
+    return "".join(x for x in map(chr, range(0x80, 0x10000)) if unicodedata.category(x) == "Ll" and (script == "Common" or not paired(x)) and x not in SET_OF and unicodedata.normalize("NFC", x) == x and script_of(x) == script)
 
 
 def luhn(digits: str) -> bool:
