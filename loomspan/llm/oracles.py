@@ -95,3 +95,38 @@ z AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) A
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN z USING (rid)
 """
+
+ORACLES["op12_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+f AS (
+  SELECT doc_id, part, len(ws) < 200 AS A, 100 * len(list_distinct(ws)) < 50 * len(ws) AS B,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS C, regexp_matches(text, '[#$%&*|]') AS D,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS E
+  FROM w),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+c AS (
+  SELECT part, A, B, C, D, E, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+k(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM k a, k b, k c, k d, k e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+m AS (
+  SELECT c.*, filter_order, step, substr(filter_order, step, 1) AS x,
+    list_filter([1, 2, 3, 4, 5], lambda i: CASE substr(filter_order, i, 1) WHEN 'A' THEN A WHEN 'B' THEN B WHEN 'C' THEN C WHEN 'D' THEN D ELSE E END)[1] AS gone,
+    A::INT + B::INT + C::INT + D::INT + E::INT AS failures,
+    CASE substr(filter_order, step, 1) WHEN 'A' THEN A WHEN 'B' THEN B WHEN 'C' THEN C WHEN 'D' THEN D ELSE E END AS fails
+  FROM c, o, (VALUES (1), (2), (3), (4), (5)) s(step)),
+r AS (
+  SELECT part, filter_order, step, x,
+    sum(CASE WHEN gone IS NULL OR gone > step THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN gone = step THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN fails AND gone < step THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN fails AND failures = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN gone = step AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN gone = step AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM m GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM r"""
