@@ -130,3 +130,75 @@ r AS (
 SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
   (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
 FROM r"""
+
+# The cheapest edits are looked for from a conversation's last row to its first, each state holding the least (cost, audit, repaired text) behind it.
+ORACLES["op13_conversation_repair"] = r"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    (concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))) AS key, row_number() OVER () AS rid
+  FROM conversations),
+tab AS (
+  SELECT b, list_reduce([b::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS t
+  FROM range(256) r(b)),
+tabs AS (SELECT list(t ORDER BY b) AS ts FROM tab),
+hashed AS (
+  SELECT raw.*, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::UBIGINT)),
+    lambda c, x: xor(c >> 8, ts[(xor(c, x) & 255) + 1])), 4294967295::UBIGINT) % 20 AS dmg
+  FROM raw, tabs),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN dmg = 4 THEN 'user' ELSE role END AS role, rid, copy,
+    CASE dmg WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, (VALUES (0), (1)) c(copy) WHERE dmg <> 0 AND (copy = 0 OR dmg = 3)),
+ordered AS (
+  SELECT *, row_number() OVER w AS i, left(role, 1) AS ini, lag(left(role, 1)) OVER w AS before,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, rid, copy) > 1 AS again
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), md5(text), rid, copy)),
+kinds AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 2 WHEN again THEN 3
+    WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 0 ELSE 1 END AS kind
+  FROM ordered),
+rows_ AS (
+  SELECT coalesce(conv_id, -9223372036854775808) AS c, list({'ini': ini, 'kind': kind, 'role': role, 'text': text} ORDER BY i) AS rs, count(*) AS n
+  FROM kinds GROUP BY conv_id),
+walk AS (
+  SELECT c, rs, n AS i,
+    {'cost': 0, 'audit': '', 'out': ''} AS q0, {'cost': 10, 'audit': 'II', 'out': E'user:\nassistant:\n'} AS q1,
+    {'cost': 5, 'audit': 'I', 'out': E'assistant:\n'} AS q2, {'cost': 0, 'audit': '', 'out': ''} AS q3
+  FROM rows_
+  UNION ALL
+  SELECT c, rs, i - 1,
+    list_min([e0, {'cost': 5 + e2.cost, 'audit': 'I' || e2.audit, 'out': E'user:\n' || e2.out}, {'cost': 10 + e3.cost, 'audit': 'II' || e3.audit, 'out': E'user:\nassistant:\n' || e3.out}]),
+    list_min([e1, {'cost': 5 + e2.cost, 'audit': 'I' || e2.audit, 'out': E'user:\n' || e2.out}, {'cost': 10 + e3.cost, 'audit': 'II' || e3.audit, 'out': E'user:\nassistant:\n' || e3.out}]),
+    list_min([e2, {'cost': 5 + e3.cost, 'audit': 'I' || e3.audit, 'out': E'assistant:\n' || e3.out}]),
+    list_min([e3, {'cost': 5 + e2.cost, 'audit': 'I' || e2.audit, 'out': E'user:\n' || e2.out}])
+  FROM (
+    SELECT c, rs, i,
+      list_min(list_filter([
+        {'cost': 2 + q0.cost, 'audit': 'D' || q0.audit, 'out': q0.out},
+        CASE WHEN rs[i].kind < 2 AND rs[i].ini = 's' THEN {'cost': k + q1.cost, 'audit': 'K' || q1.audit, 'out': line || q1.out} END,
+        CASE WHEN rs[i].kind < 2 AND rs[i].ini = 'u' THEN {'cost': k + q2.cost, 'audit': 'K' || q2.audit, 'out': line || q2.out} END,
+        CASE WHEN rs[i].kind < 2 THEN {'cost': k + 1 + q2.cost, 'audit': 'R' || q2.audit, 'out': 'user:' || rs[i].text || E'\n' || q2.out} END], lambda x: x IS NOT NULL)) AS e0,
+      list_min(list_filter([
+        {'cost': 2 + q1.cost, 'audit': 'D' || q1.audit, 'out': q1.out},
+        CASE WHEN rs[i].kind < 2 AND rs[i].ini = 'u' THEN {'cost': k + q2.cost, 'audit': 'K' || q2.audit, 'out': line || q2.out} END,
+        CASE WHEN rs[i].kind < 2 THEN {'cost': k + 1 + q2.cost, 'audit': 'R' || q2.audit, 'out': 'user:' || rs[i].text || E'\n' || q2.out} END], lambda x: x IS NOT NULL)) AS e1,
+      list_min(list_filter([
+        {'cost': 2 + q2.cost, 'audit': 'D' || q2.audit, 'out': q2.out},
+        CASE WHEN rs[i].kind < 2 AND rs[i].ini = 'a' THEN {'cost': k + q3.cost, 'audit': 'K' || q3.audit, 'out': line || q3.out} END,
+        CASE WHEN rs[i].kind < 2 THEN {'cost': k + 1 + q3.cost, 'audit': 'R' || q3.audit, 'out': 'assistant:' || rs[i].text || E'\n' || q3.out} END], lambda x: x IS NOT NULL)) AS e2,
+      list_min(list_filter([
+        {'cost': 2 + q3.cost, 'audit': 'D' || q3.audit, 'out': q3.out},
+        CASE WHEN rs[i].kind < 2 AND rs[i].ini = 'u' THEN {'cost': k + q2.cost, 'audit': 'K' || q2.audit, 'out': line || q2.out} END,
+        CASE WHEN rs[i].kind < 2 THEN {'cost': k + 1 + q2.cost, 'audit': 'R' || q2.audit, 'out': 'user:' || rs[i].text || E'\n' || q2.out} END], lambda x: x IS NOT NULL)) AS e3
+    FROM (SELECT *, CASE WHEN rs[i].kind = 1 THEN 5 ELSE 0 END AS k, rs[i].role || ':' || rs[i].text || E'\n' AS line FROM walk WHERE i > 0))),
+counts AS (
+  SELECT coalesce(conv_id, -9223372036854775808) AS c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (kind = 2) AS blank, count(*) FILTER (kind = 3) AS duplicate, count(*) FILTER (kind = 1) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM kinds GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(q0.cost, 0)::BIGINT AS cost, coalesce(q0.audit, '') AS audit,
+  sha256(regexp_replace(coalesce(q0.out, ''), '\n$', '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts ON counts.c = coalesce(o.conv_id, -9223372036854775808)
+LEFT JOIN (SELECT c, q0 FROM walk WHERE i = 0) w ON w.c = coalesce(o.conv_id, -9223372036854775808)"""

@@ -8,7 +8,7 @@ import public_tokenizers as public
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, filter_audit, jaccard_join, language_id, line_dedup, packing, pii, quality, secret_scan, url_filter
+from . import ann, conversations, decontaminate, filter_audit, jaccard_join, language_id, line_dedup, packing, pii, quality, secret_scan, url_filter
 from .common import table
 
 #: Of the surrogates, where spark.loomspan.pii.key names none: a new one each process, which nobody can invert them by afterwards.
@@ -64,5 +64,9 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.flagged(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_decontaminate, op4_language_id, op5_anisotropic_ann, op6_harmonic_packing, op7_ngram_jaccard, op8_url_filter, op9_quality, op10_pii_surrogates,
-                                  op12_filter_audit)}
+                                  op12_filter_audit, op13_conversation_repair)}
