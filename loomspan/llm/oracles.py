@@ -143,7 +143,7 @@ tab AS (
 tabs AS (SELECT list(t ORDER BY b) AS ts FROM tab),
 hashed AS (
   SELECT raw.*, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(substr(key, i, 1))::UBIGINT)),
-    lambda c, x: xor(c >> 8, ts[(xor(c, x) & 255) + 1])), 4294967295::UBIGINT) % 20 AS dmg
+    lambda c, x: xor(c >> 8, ts[(xor(c, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 20 AS dmg
   FROM raw, tabs),
 damaged AS (
   SELECT conv_id, turn, CASE WHEN dmg = 4 THEN 'user' ELSE role END AS role, rid, copy,
