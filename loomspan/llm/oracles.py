@@ -202,3 +202,19 @@ SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) o
 LEFT JOIN counts ON counts.c = coalesce(o.conv_id, -9223372036854775808)
 LEFT JOIN (SELECT c, q0 FROM walk WHERE i = 0) w ON w.c = coalesce(o.conv_id, -9223372036854775808)"""
+
+# All pairs of a label; a label of at most a window's vectors is compared whole by the operator too.
+ORACLES["op11_near_vectors"] = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT a, b FROM p UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id,
+  coalesce(vec_id = least(vec_id, coalesce(least.b, vec_id)), false) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN least ON least.a = vec_id"""

@@ -8,7 +8,7 @@ import public_tokenizers as public
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, conversations, decontaminate, filter_audit, jaccard_join, language_id, line_dedup, packing, pii, quality, secret_scan, url_filter
+from . import ann, conversations, decontaminate, filter_audit, jaccard_join, language_id, line_dedup, near_vectors, packing, pii, quality, secret_scan, url_filter
 from .common import table
 
 #: Of the surrogates, where spark.loomspan.pii.key names none: a new one each process, which nobody can invert them by afterwards.
@@ -60,6 +60,10 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.replace_pii(table(spark, sf_dir, "documents"), spark.conf.get("spark.loomspan.pii.key", "").encode() or _PII_KEY))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.flagged(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
@@ -69,4 +73,4 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_decontaminate, op4_language_id, op5_anisotropic_ann, op6_harmonic_packing, op7_ngram_jaccard, op8_url_filter, op9_quality, op10_pii_surrogates,
-                                  op12_filter_audit, op13_conversation_repair)}
+                                  op11_near_vectors, op12_filter_audit, op13_conversation_repair)}
