@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import normalize_for_search
+from .segments import Segments, medians
 
 
 def first_of(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -58,24 +59,24 @@ def id_numbers(c: Column) -> Column:
 
 
 def drop_isolated(rows: DataFrame, by: str, number: str) -> DataFrame:
-    """Rows whose number has a neighbour (one less or one more) in its group."""
-    own = rows.select(by, number).distinct()
-    w = Window.partitionBy(by).orderBy(number)
-    kept = own.withColumn("_p", F.lag(number).over(w)).withColumn("_n", F.lead(number).over(w)).where((F.col("_p") == F.col(number) - 1) | (F.col("_n") == F.col(number) + 1))
-    return rows.join(kept.select(by, number), [by, number], "left_semi")
+    """Rows whose number has a neighbour (one less or one more) in its group. A number meets its neighbours by equality, one aggregation for
+    all groups, so a group's size doesn't matter. Rows without a number go."""
+    near = F.explode(F.array(*[F.struct((F.col(number) + d).alias(number), F.lit(int(d == 0)).alias("own")) for d in (-1, 0, 1)])).alias("x")
+    met = rows.where(F.col(number).isNotNull()).select(F.col(by).alias("_by"), near).groupBy("_by", F.col(f"x.{number}").alias("_number")).agg(F.max("x.own").alias("own"), F.min("x.own").alias("near"))
+    kept = met.where("own = 1 and near = 0").select("_by", "_number")
+    return rows.join(kept, F.col(by).eqNullSafe(F.col("_by")) & (F.col(number) == F.col("_number")), "left_semi")
 
 
 def increasing(rows: DataFrame, by: str, order: str, number: str) -> DataFrame:
-    """Rows whose number exceeds all before it in its group."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_m", F.max(number).over(w)).where(F.col("_m").isNull() | (F.col(number) > F.col("_m"))).drop("_m")
+    """Rows whose number exceeds all before it in its group; a group may have any size."""
+    seen = Segments(rows, by, order).most_before(number, "_m").plain()
+    return seen.where(F.col("_m").isNull() | (F.col(number) > F.col("_m"))).drop("_m")
 
 
 def fill_pages(rows: DataFrame, by: str, order: str, page: str) -> DataFrame:
-    """Missing pages are those of the next row that has one, else of the last."""
-    after = Window.partitionBy(by).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(page, F.coalesce(F.first(page, ignorenulls=True).over(after), F.last(page, ignorenulls=True).over(before)))
+    """Missing pages are those of the next row that has one, else of the last; a group may have any size."""
+    near = Segments(rows, by, order).first_behind(page, "_behind", current=True).last_before(page, "_before").plain()
+    return near.withColumn(page, F.coalesce("_behind", "_before")).drop("_behind", "_before")
 
 
 def preferred_files(files: DataFrame) -> DataFrame:
@@ -85,11 +86,14 @@ def preferred_files(files: DataFrame) -> DataFrame:
 
 
 def trusted_volumes(rows: DataFrame, by: str, order: str, number: str, spread: int = 5000, least: float = 0.95) -> DataFrame:
-    """Rows within `spread` of their volume's median number, of the volumes where at least that share of numbers increases."""
-    mid = rows.groupBy(by).agg(F.median(number).alias("_m"))
-    near = rows.join(mid, by).where(F.abs(F.col(number) - F.col("_m")) <= spread).drop("_m")
-    steps = near.withColumn("_p", F.lag(number).over(Window.partitionBy(by).orderBy(order))).groupBy(by).agg(F.avg(F.when(F.col("_p").isNotNull(), (F.col(number) > F.col("_p")).cast("double"))).alias("_s"))
-    return near.join(steps.where(F.coalesce("_s", F.lit(1.0)) >= least).select(by), by, "left_semi")
+    """Rows within `spread` of their volume's median number, of the volumes where at least that share of numbers increases. Median and steps are taken by
+    segments; a volume may have any size."""
+    mid = medians(rows, by, number).withColumnRenamed(by, "_by")
+    near = rows.join(mid, F.col(by).eqNullSafe(F.col("_by"))).where(F.abs(F.col(number) - F.col("median")) <= spread).drop("median", "_by")
+    steps = Segments(near, by, order).last_before(number, "_p").plain()
+    share = F.avg(F.when(F.col("_p").isNotNull(), (F.col(number) > F.col("_p")).cast("double")))
+    held = steps.groupBy(F.col(by).alias("_by")).agg(share.alias("_s")).where(F.coalesce("_s", F.lit(1.0)) >= least).select("_by")
+    return steps.drop("_p").join(held, F.col(by).eqNullSafe(F.col("_by")), "left_semi")
 
 
 def packed(lengths: Sequence[int], most: int, gap: int) -> list[tuple[int, int]]:
