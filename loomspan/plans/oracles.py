@@ -213,7 +213,7 @@ s AS (SELECT volume, number, lag(number) OVER (PARTITION BY volume ORDER BY doc_
 }
 
 ALL_VERSES = f"asks AS (SELECT 'v' || surah || ':' || ayah AS id, {norm('text')} AS n, id AS own, surah || ':' || ayah AS ref FROM corpus WHERE surah IS NOT NULL)"
-ORACLES["crossref_links_all"] = ORACLES["crossref_links"].replace(VERSES, ALL_VERSES)
+ORACLES["crossref_links_all"] = ORACLES.pop("crossref_links").replace(VERSES, ALL_VERSES)
 
 CLAIM_CITED = f"""cc AS (SELECT DISTINCT answer_id, claim_no, 'doc_' || (answer_id * 7 + claim_no) AS cid FROM cl),
 v AS (SELECT cid, complete, (NOT complete)::INT + (NOT source_known)::INT + coalesce((NOT found)::INT, 0) AS n FROM (SELECT *, {COMPLETE} AS complete, source_id IN (SELECT source_id FROM registry) AS source_known FROM pe)),
@@ -229,3 +229,25 @@ SELECT answer_id, claim_no, round(support, 6) AS support, support >= 0.2 AS supp
 _ORDER = "CASE section " + " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(SECTIONS.values())) + " END"
 ORACLES["reading_list"] = f"""WITH {sims()}, {LECTURE}, fs AS (SELECT query_id, source_id, {_ORDER} AS o, rank, ls.id FROM ls JOIN corpus USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, source_id ORDER BY o, rank, ls.id) = 1)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY o, rank, id, source_id)::INT AS place, source_id FROM fs"""
+
+
+def parts_by_size(most: int, sized: str) -> str:
+    """CTEs sized(source_id, id, b, i) and walk(source_id, i, part, held): a greedy fold over each source's rows in order."""
+    return f"""sized AS (SELECT source_id, id, {sized} AS b, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(surah, 0), coalesce(ayah, 0), id) AS i FROM corpus),
+walk AS (
+  SELECT source_id, i, 0 AS part, b AS held, b FROM sized WHERE i = 1 UNION ALL
+  SELECT s.source_id, s.i, CASE WHEN held + s.b > {most} THEN part + 1 ELSE part END, CASE WHEN held + s.b > {most} THEN s.b ELSE held + s.b END, s.b
+  FROM walk w JOIN sized s ON s.source_id = w.source_id AND s.i = w.i + 1)"""
+
+
+_EDGES = f"regexp_replace(coalesce(text, ''), '^{SPACE}+|{SPACE}+$', '', 'g')"
+_HEADING = "CASE WHEN evidence_type = 'quran' AND surah IS NOT NULL AND ayah IS NOT NULL THEN 'English: ' ELSE '' END"
+_PASSAGE = f"strlen('### ' || {REFERENCE} || chr(10) || {_HEADING} || {_EDGES} || chr(10) || chr(10))"
+ORACLES["export_parts"] = f"""WITH RECURSIVE {CORPUS}, {parts_by_size(50_000, "strlen(coalesce(text, ''))")}
+SELECT source_id, part, count(*) AS n, sum(b)::BIGINT AS bytes FROM walk GROUP BY source_id, part"""
+ORACLES["export_index"] = f"""WITH RECURSIVE {CORPUS}, {REGISTRY}, {parts_by_size(100_000, _PASSAGE)},
+each AS (SELECT source_id, part, count(*) AS n, sum(b)::BIGINT AS bytes FROM walk GROUP BY source_id, part),
+every AS (SELECT *, count(*) OVER w AS parts, sum(n) OVER w AS passages FROM each WINDOW w AS (PARTITION BY source_id))
+SELECT source_id, part, parts::INT AS parts, source_id || CASE WHEN parts > 1 THEN printf('.part%02d', part + 1) ELSE '' END AS file,
+  coalesce(title, source_id) || CASE WHEN parts > 1 THEN printf(' (part %d/%d)', part + 1, parts) ELSE '' END AS label, n, bytes, passages::BIGINT AS passages
+FROM every LEFT JOIN registry USING (source_id)"""

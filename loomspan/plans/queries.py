@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citations as C
 from ..functions import text as X
 from ..functions.citations import bonus
-from ..operators import answers, corpus_ops, evaluation, features, grounding, narrators, retrieval
+from ..operators import answers, corpus_ops, evaluation, export, features, grounding, narrators, retrieval
 from ..sources.corpus import bind, registry, source_number, table
 from ..sources.files import html_text
 from ..storage import shared_folder
@@ -148,30 +148,16 @@ def lecture_pool(spark, sf_dir):
     return _six(retrieval.lecture_pool(retrieval.lecture_sections(_sims(spark, sf_dir, 200, _by_type(spark, sf_dir)), bind(spark, sf_dir))))
 
 
-def _crossref(spark, sf_dir, first_only):
+def crossref_links_all(spark, sf_dir):
+    """Of every verse of the corpus."""
     corpus = bind(spark, sf_dir)
     with_normal = corpus.withColumn("normal", X.search_form(F.coalesce("text", F.lit(""))))
-    verses = with_normal.where(F.col("surah").isNotNull())
-    query_id = F.concat(F.lit("v"), F.concat_ws(":", "surah", "ayah"))
-    if first_only:
-        first = Window.partitionBy("surah").orderBy("ayah")
-        verses = verses.withColumn("_r", F.row_number().over(first)).where("_r = 1")
-        query_id = F.concat(F.lit("v"), F.col("surah").cast("string"))
-    verses = verses.select(query_id.alias("query_id"), "id", "normal", F.concat_ws(":", "surah", "ayah").alias("ref"))
+    ref = F.concat_ws(":", "surah", "ayah")
+    verses = with_normal.where(F.col("surah").isNotNull()).select(F.concat(F.lit("v"), ref).alias("query_id"), "id", "normal", ref.alias("ref"))
     sims = _index(spark, sf_dir).nearest(verses.select(F.col("query_id").alias("id"), "normal"), 375, _by_type(spark, sf_dir).where(F.col("part").isin("tafsir", "hadith", "quran")))
     return _six(retrieval.cross_references(sims, verses, with_normal))
 
 
-def crossref_links(spark, sf_dir):
-    """Of the first verse of each surah, as its SQL has it; crossref_links_all is the whole job."""
-    return _crossref(spark, sf_dir, first_only=True)
-
-
-def crossref_links_all(spark, sf_dir):
-    """Of every verse of the corpus."""
-    return _crossref(spark, sf_dir, first_only=False)
-
-
 def citation_completeness(spark, sf_dir):
     return bind(spark, sf_dir).select("id", "evidence_type", C.is_complete(F.col).alias("complete"), C.as_fact(F.col).alias("as_fact"))
 
@@ -405,7 +391,14 @@ def mrr(spark, sf_dir):
 
 
 def export_parts(spark, sf_dir):
-    return corpus_ops.export_parts(bind(spark, sf_dir), 50_000)
+    return export.export_parts(bind(spark, sf_dir), 50_000)
+
+
+def export_index(spark, sf_dir):
+    """The files that an export of at most 100 kB a file would write."""
+    docs = bind(spark, sf_dir)
+    text = docs.withColumn("value", F.concat(export.passage(docs), F.lit("\n\n"))).select("source_id", "surah", "ayah", "id", "value")
+    return export.index(export.in_parts(text, F.octet_length("value"), 100_000), registry(spark, sf_dir))
 
 
 def page_text(spark, sf_dir):
@@ -434,7 +427,7 @@ def trusted_volumes(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     normalize_text, token_counts, char_trigram_counts, feature_hash_buckets, idf_table, tfidf_topk, hashing_topk, dense_topk, confidence_rerank, retrieve_filtered_compat, retrieve_filtered_exact,
-    consensus_by_source, compare_sources, multi_part_merge, extractive_answers, question_parts, lecture_sections, lecture_pool, crossref_links, crossref_links_all, citation_completeness, reference_string, unknown_sources, passage_exists, validate_citations,
+    consensus_by_source, compare_sources, multi_part_merge, extractive_answers, question_parts, lecture_sections, lecture_pool, crossref_links_all, citation_completeness, reference_string, unknown_sources, passage_exists, validate_citations,
     source_coverage, claim_overlap, content_overlap, answer_grounding, judge_claims, answer_report, citation_accuracy, evaluate, reading_list, hallucination_rate, verify_markers, verify_synthesis, detect_language, language_mix, dedupe_documents, near_duplicate_keys,
-    chunk_text, facets, source_types, top_narrators, narrator_lookup, narrator_profile, grade_summary, source_score, review_queue, manifest_status, iteration_deltas, gold_metrics, mrr, export_parts,
+    chunk_text, facets, source_types, top_narrators, narrator_lookup, narrator_profile, grade_summary, source_score, review_queue, manifest_status, iteration_deltas, gold_metrics, mrr, export_parts, export_index,
     page_text, isolated_numbers, increasing_refs, page_fill, trusted_volumes)}

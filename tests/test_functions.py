@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import citations as C
 from loomspan.functions import text as X
-from loomspan.operators import corpus_ops, evaluation, grounding, narrators, retrieval
+from loomspan.operators import corpus_ops, evaluation, export, grounding, narrators, retrieval
 
 TEXTS = ["", "  a  b ", "ÉCOLE x\x1fy z", "قُرْآنٌ كـــتاب ٱلله", "مدرسة علی ۱۲٣", "éa", "ab", "Straße İ", None]
 
@@ -192,6 +192,6 @@ def test_ordering_rules(spark):
     assert {(r.volume, r.name) for r in corpus_ops.preferred_files(f).collect()} == {("1", "aa_eng.pdf"), ("2", "x.pdf")}
     new = corpus_ops.only_new(spark.createDataFrame([("a", 1), ("b", 1), ("b", 2)], "id string, o int"), spark.createDataFrame([("a",)], "id string"), ["o"])
     assert [(r.id, r.o) for r in new.collect()] == [("b", 1)]
-    parts = corpus_ops.export_parts(spark.createDataFrame([("s", "x" * 6, None, None, c) for c in "abc"] + [("t", "y" * 30, 1, 1, "d")], "source_id string, text string, surah int, ayah int, id string"), 13)
+    parts = export.export_parts(spark.createDataFrame([("s", "x" * 6, None, None, c) for c in "abc"] + [("t", "y" * 30, 1, 1, "d")], "source_id string, text string, surah int, ayah int, id string"), 13)
     assert sorted(tuple(r) for r in parts.collect()) == [("s", 0, 2, 12), ("s", 1, 1, 6), ("t", 0, 1, 30)]
     assert spark.range(1).select(corpus_ops.id_numbers(F.lit("a-v10-h2"))).first()[0] == [10, 2]

@@ -83,3 +83,22 @@ def test_no_rows(spark):
     d = spark.createDataFrame([], KINDS)
     assert corpus_ops.increasing(d, "source", "place", "number").count() == corpus_ops.fill_pages(d, "source", "place", "page").count() == 0
     assert corpus_ops.trusted_volumes(d, "source", "place", "number").count() == corpus_ops.drop_isolated(d, "source", "number").count() == 0
+
+
+@pytest.mark.parametrize("most", (10, 37, 1000, 10**6))
+def test_cuts_by_size_equal_a_fold_over_whole_groups(spark, many_ranges, most):
+    r = random.Random(most)
+    rows = [(r.choice(["a", "a", "a", "b", None]), i, r.choice([0, 1, 3, 9, 12, 50]), None) for i in range(700)]
+    want = []
+    for own in groups(rows).values():
+        no, held = -1, None
+        for row in own:
+            if held is None or held + row[2] > most:
+                no, held = no + 1, 0
+            held += row[2]
+            want.append((*row[:2], no))
+    s = Segments(spark.createDataFrame(rows, KINDS).repartition(4), "source", "place")
+    assert s.rows.groupBy("source").agg(F.countDistinct("_range").alias("n")).where("n > 1").count() > 0
+    found = s.cut_by_size("number", most, "no").select("source", "place", "no").collect()
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+    assert Segments(spark.createDataFrame([], KINDS), "source", "place").cut_by_size("number", most, "no").count() == 0
