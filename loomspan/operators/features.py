@@ -16,10 +16,11 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..storage import checkpoint
 
 #: Features of two documents or more up to which the vocabulary is broadcast (under 100 bytes each), and distinct features that a task holds.
 VOCABULARY, HELD = 500_000, 1_000_000
@@ -162,19 +163,24 @@ def nearest(vectors: DataFrame, queries: DataFrame, dim: int, k: int | None, flo
 
     similarity is the inner product to nine decimals, score that plus the bonus. Each batch gives, for each query and part, all rows that
     can be among its k best by score (ties by id): the caller ranks what is left. Pairs without a common bucket are left out, and those under the floor.
-    Queries are collected in blocks of bounded size, a pass each."""
+    Queries come to the tasks in blocks of BLOCK at most. More of them than that are embedded once, and each block's pass keeps its k best a query and
+    part in the shared folder before the next begins: the driver holds one block at a time."""
     given = [c for c in ("part", "bonus") if c in vectors.columns]
     rows = vectors.select("id", "buckets", "weights", *given)
-    asked = queries.select("id", "buckets", "weights").toPandas() if queries.count() <= BLOCK else None
-    if asked is None:
-        numbered = queries.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(math.ceil(2 * queries.count() / BLOCK))))
-        blocks = [numbered.where(F.col("_block") == i).toPandas() for i in range(math.ceil(2 * queries.count() / BLOCK))]
-    else:
-        blocks = [asked]
-    out = None
-    for block in blocks:
-        found = rows.mapInArrow(_products(block, dim, k, floor, given), "query_id string, part string, id string, similarity double, score double")
-        out = found if out is None else out.union(found)
+    found = lambda block: rows.mapInArrow(_products(block, dim, k, floor, given), "query_id string, part string, id string, similarity double, score double")
+    asked = checkpoint(queries.select("id", "buckets", "weights"))
+    n = asked.count()
+    if n <= BLOCK:
+        return found(asked.toPandas())
+    blocks, out = math.ceil(2 * n / BLOCK), None
+    dealt = asked.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    best = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), "id")
+    for i in range(blocks):
+        own = found(dealt.where(F.col("_block") == i).toPandas())
+        if k is not None:
+            own = own.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+        own = checkpoint(own)
+        out = own if out is None else out.union(own)
     return out
 
 

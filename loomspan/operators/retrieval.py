@@ -1,18 +1,20 @@
 """Lexical and dense retrieval: hashed TF-IDF indexes as tables, batch top-k, filters, confidence re-ranking, links.
 
-An index is two tables: (feature, df, idf, bucket, sign) and sparse vectors, a row a document. Filters come before the product of documents
+An index is tables of frequencies (feature, df, bucket, sign) and of sparse vectors, a row a document, in segments. Filters come before the product of documents
 and queries; each batch gives its best rows alone (features.nearest), and ranks come from a window whose limit Spark pushes below the shuffle.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,58 +34,125 @@ def feature_rows(rows: DataFrame, prefixed: bool = True) -> DataFrame:
     return rows.select("id", F.explode(own).alias("f"))
 
 
-def idf_table(frequencies: DataFrame, n: int, dim: int = DIM) -> DataFrame:
-    """(f, df, idf, bucket, sign) of (f, df) over n documents; a feature is hashed once, here."""
-    idf = F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0
-    return frequencies.select("f", "df", idf.alias("idf"), X.bucket(F.col("f"), dim).alias("bucket"), X.sign(F.col("f")).alias("sign"))
+def hashed(frequencies: DataFrame, dim: int = DIM) -> DataFrame:
+    """(f, df, bucket, sign) of (f, df); a feature is hashed once, here."""
+    return frequencies.select("f", "df", X.bucket(F.col("f"), dim).alias("bucket"), X.sign(F.col("f")).alias("sign"))
+
+
+def idf(df: Column, n: int) -> Column:
+    return F.log((F.lit(n) + 1.0) / (df + 1.0)) + 1.0
 
 
 class StaleIndex(ValueError):
     """An index of another embedder, dimension or corpus than asked for."""
 
 
-def fingerprint(rows: DataFrame) -> str:
-    """Of rows(id, normal), whatever their order: their count and the sum of their hashes."""
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("id", "normal"), F.lit(1 << 40))), F.lit(0))).first()
-    return f"{n}-{total}"
+def fingerprint(rows: DataFrame) -> tuple[int, int]:
+    """Of rows(id, normal), whatever their order: their count and the sum of their hashes. Those of two tables add up."""
+    return tuple(rows.agg(F.count("*"), F.coalesce(F.sum(F.pmod(F.xxhash64("id", "normal"), F.lit(1 << 40))), F.lit(0))).first())
 
 
 @dataclass
 class TfidfIndex:
-    """idf(f, df, idf, bucket, sign), vectors(id, buckets, weights), the count of documents, the dimension and the signature."""
-    idf: DataFrame
-    vectors: DataFrame
-    n: int
+    """An index in segments: each holds its documents' normal texts, how many of them have each feature, and their vectors.
+
+    A version of the index is a row of the manifest, which names its segments; a segment that no version names isn't seen, so a run that is lost while it
+    writes one does no harm, and a version is there or not. Frequencies of segments add up when read. Vectors keep the weights of the version that they
+    were added in: drift() tells how far those are from the weights of now, and compact() writes all anew as one segment.
+    """
+    spark: SparkSession
+    path: str
+    version: int
+    segments: list[tuple[str, int]]
+    total: int
     dim: int = DIM
-    signature: str = ""
 
     @staticmethod
-    def sign(dim: int, corpus: str) -> str:
-        return f"{TfidfIndex.__name__}:tfidf:{dim}:{corpus}"
+    def sign(dim: int, n: int, total: int) -> str:
+        return f"{TfidfIndex.__name__}:tfidf:{dim}:{n}-{total}"
+
+    @property
+    def n(self) -> int:
+        return sum(n for _, n in self.segments)
+
+    @property
+    def signature(self) -> str:
+        return self.sign(self.dim, self.n, self.total)
+
+    def _read(self, what: str, segments: list[str] | None = None) -> DataFrame:
+        names = [s for s, _ in self.segments] if segments is None else segments
+        return self.spark.read.parquet(f"{self.path}/{what}").where(F.col("segment").isin(*names))
+
+    @property
+    def vectors(self) -> DataFrame:
+        """(id, buckets, weights)."""
+        return self._read("vectors").select("id", "buckets", "weights")
+
+    @property
+    def idf(self) -> DataFrame:
+        """(f, df, idf, bucket, sign) over all segments."""
+        own = self._read("df")
+        if len(self.segments) > 1:
+            own = own.groupBy("f").agg(F.sum("df").alias("df"), F.first("bucket").alias("bucket"), F.first("sign").alias("sign"))
+        return own.select("f", "df", idf(F.col("df"), self.n).alias("idf"), "bucket", "sign")
+
+    def _with(self, rows: DataFrame, kept: list[tuple[str, int]]) -> TfidfIndex:
+        """The version with a segment of rows(id, normal) behind those kept; this one, if there are none."""
+        segment = uuid.uuid4().hex
+        place = lambda what: f"{self.path}/{what}/segment={segment}"
+        rows.select("id", "normal").write.parquet(place("texts"))  # normalised once; what follows reads it
+        rows = self.spark.read.parquet(place("texts"))
+        n, total = fingerprint(rows)
+        if not n and self.version:
+            return self
+        hashed(features.document_frequencies(rows), self.dim).write.parquet(place("df"))
+        new = TfidfIndex(self.spark, self.path, self.version + 1, [*kept, (segment, n)], total + (self.total if kept else 0), self.dim)
+        features.weighted_vectors(rows, new.idf, new.n, self.dim).write.parquet(place("vectors"))
+        row = [(new.dim, new.total, new.segments)]
+        self.spark.createDataFrame(row, "dim int, total long, segments array<struct<segment: string, n: long>>").write.parquet(f"{self.path}/manifest/version={new.version}")  # fails if another run wrote that version
+        return new
 
     @classmethod
     def build(cls, rows: DataFrame, path: str, dim: int = DIM) -> TfidfIndex:
-        """Of rows(id, normal); its tables are written below path, the counts among them, so that a query's idf is the corpus's."""
+        """Of rows(id, normal), as a new version at path; what was there isn't named any more."""
         spark = rows.sparkSession
-        mark = fingerprint(rows)
-        n = int(mark.split("-")[0])
-        idf_table(features.document_frequencies(rows), n, dim).write.mode("overwrite").parquet(f"{path}/idf")
-        idf = spark.read.parquet(f"{path}/idf")
-        features.weighted_vectors(rows, idf, n, dim).write.mode("overwrite").parquet(f"{path}/vectors")
-        spark.createDataFrame([(n, dim, cls.sign(dim, mark))], "n long, dim int, signature string").write.mode("overwrite").parquet(f"{path}/signature")
-        return cls.open(spark, path, dim)
+        try:
+            before = cls.open(spark, path).version
+        except AnalysisException:  # nothing there yet
+            before = 0
+        return cls(spark, path, before, [], 0, dim)._with(rows, [])
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, dim: int | None = None, corpus: DataFrame | None = None) -> TfidfIndex:
-        """The index at a path, refused if it isn't of the dimension or of the corpus(id, normal) given."""
-        n, own, signature = spark.read.parquet(f"{path}/signature").select("n", "dim", "signature").first()
-        if dim not in (None, own) or corpus is not None and signature != cls.sign(own, fingerprint(corpus)):
-            raise StaleIndex(f"{path} holds {signature}")
-        return cls(spark.read.parquet(f"{path}/idf"), spark.read.parquet(f"{path}/vectors"), n, own, signature)
-
-    def add(self, rows: DataFrame) -> DataFrame:
-        """(id, buckets, weights) of the rows(id, normal) whose id the index lacks, weighted by its own idf: only they are embedded."""
-        return self.embed(rows.join(self.vectors.select("id"), "id", "left_anti"))
+        """The newest version at a path, refused if it isn't of the dimension or of the corpus(id, normal) given."""
+        row = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+        out = cls(spark, path, row.version, [tuple(s) for s in row.segments], row.total, row.dim)
+        if dim not in (None, out.dim) or corpus is not None and out.signature != cls.sign(out.dim, *fingerprint(corpus)):
+            raise StaleIndex(f"{path} holds {out.signature}")
+        return out
+
+    def add(self, rows: DataFrame, most_drift: float | None = 0.05) -> TfidfIndex:
+        """The version with those rows(id, normal) whose id it lacks, each id once (the least text): only they are counted and embedded.
+
+        Vectors of before keep their weights. Where a weight of theirs is off by more than a share of most_drift, all is compacted; a cosine is then off by 2 *
+        most_drift at most, as far as features don't share buckets. Null: never compacted."""
+        fresh = rows.join(self.vectors.select("id"), "id", "left_anti").groupBy("id").agg(F.min("normal").alias("normal"))
+        out = self._with(fresh, self.segments)
+        return out.compact() if most_drift is not None and out.version > self.version and out.drift() > most_drift else out
+
+    def drift(self) -> float:
+        """The largest share by which a weight of now differs from that of a segment's version, of the features that were there then."""
+        if len(self.segments) < 2:
+            return 0.0
+        own, counts = self._read("df"), np.cumsum([n for _, n in self.segments]).tolist()
+        place = F.element_at(F.create_map(*[x for i, (s, _) in enumerate(self.segments) for x in (F.lit(s), F.lit(i))]), F.col("segment"))
+        seen = own.withColumn("at", place).groupBy("f").agg(F.sum("df").alias("df"), *[F.sum(F.when(F.col("at") <= i, F.col("df"))).alias(f"df_{i}") for i in range(len(counts) - 1)])
+        off = [F.max(F.abs(idf(F.col("df"), counts[-1]) / idf(F.col(f"df_{i}"), counts[i]) - 1)) for i in range(len(counts) - 1)]  # null where a feature wasn't there
+        return max([x or 0.0 for x in seen.agg(*[c.alias(f"o{i}") for i, c in enumerate(off)]).first()])
+
+    def compact(self) -> TfidfIndex:
+        """The version of one segment, of the texts of all; equal to build() of them. Segments that it replaces stay on disk for those who still read them."""
+        return self._with(self._read("texts").select("id", "normal"), [])
 
     def embed(self, queries: DataFrame) -> DataFrame:
         """(id, buckets, weights) of queries(id, normal); a feature that no document has counts as the rarest."""
