@@ -1,7 +1,7 @@
 """Hashed feature vectors of normalised texts, one row a text, and the inner products of many texts with a block of queries.
 
 Features (tokens and character trigrams) are counted within a text, so no occurrence is shuffled: only the distinct features of
-a task's texts meet, to be counted over documents. Each is hashed once for the vocabulary, not once a text. Weighting looks features up in the
+a slice of texts meet, to be counted over documents. Each is a string once a slice and hashed once for the vocabulary, not once a text. Weighting looks features up in the
 vocabulary, of which features of a single document are left out (their weight follows from that); one over VOCABULARY features is
 joined instead. Products are matrix products of an Arrow batch with the queries, and a batch gives its best rows alone.
 """
@@ -9,37 +9,70 @@ joined instead. Products are matrix products of an Arrow batch with the queries,
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..storage import checkpoint
 
-#: Features of two documents or more up to which the vocabulary is broadcast (under 100 bytes each), and distinct features that a task holds.
-VOCABULARY, HELD = 500_000, 1_000_000
+#: Features of two documents or more up to which the vocabulary is broadcast (under 100 bytes each), and features whose places a task keeps.
+VOCABULARY = 500_000
+#: Characters and texts that are counted at a time.
+CHARS, TEXTS = 1 << 21, 1024
 #: Queries of a block, and rows of a batch's part, whose vectors are matrices.
 BLOCK, ROWS = 1024, 1024
 VECTOR = "id string, buckets array<int>, weights array<double>"
 
 
-def grams(normal: str) -> list[str]:
-    u = normal.replace(" ", "_")
-    return [u[i : i + 3] for i in range(len(u) - 2)] if len(u) > 2 else [u] if u else []
+def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """[first, end) of the runs of texts of CHARS characters or TEXTS texts; a longer text is one by itself."""
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > at and (held + n > CHARS or i - at >= TEXTS):
+            yield at, i
+            at, held = i, 0
+        held += n
+    if at < len(texts):
+        yield at, len(texts)
 
 
-def counts(normal: str | None, prefixed: bool = True) -> Counter:
-    """A text's features, as functions.text.tokens() and trigrams() have them."""
+def counted(texts: list[str | None], prefixed: bool = True) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(features, text, feature, n): the distinct features of some normalised texts, as functions.text.tokens() and trigrams() have them, and for each
+    text's features the places of both and the count. A trigram is a number of three code points here, and a string once for all texts."""
+    texts = [t or "" for t in texts]
     w, c = ("w:", "c:") if prefixed else ("", "")
-    out = Counter(w + t for t in (normal or "").split(" ") if t)
-    out.update(Counter(c + g for g in grams(normal or "")))
-    return out
+    n = np.array([len(t) for t in texts], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    code = np.append(np.where(code == 32, 95, code).astype(np.int64) + 1, [0, 0])
+    windows = np.where(n > 2, n - 2, n > 0)
+    text = np.repeat(np.arange(len(texts)), windows)
+    at = np.arange(len(text)) + np.repeat(np.cumsum(n) - n - np.cumsum(windows) + windows, windows)
+    one, two, three = code[at], code[at + 1], code[at + 2]
+    for i in np.flatnonzero(n[text] < 3):
+        two[i], three[i] = two[i] * (n[text[i]] > 1), 0
+    own, gram = np.unique(one << 42 | two << 21 | three, return_inverse=True)
+    names = (np.stack([own >> 42, own >> 21 & 0x1FFFFF, own & 0x1FFFFF], 1).clip(1) - 1).astype(np.uint32).tobytes().decode("utf-32-le")
+    names = [c + names[3 * i : 3 * i + 3] for i in range(len(own))]
+    for i in np.flatnonzero(own & 0x1FFFFF == 0):
+        names[i] = names[i][: len(c) + (2 if own[i] >> 21 & 0x1FFFFF else 1)]
+    grams, n_grams = np.unique(text * max(len(own), 1) + gram, return_counts=True)
+
+    words = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    text = np.repeat(np.arange(len(texts)), words.value_lengths().to_numpy())
+    flat = words.flatten()
+    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    flat = flat.filter(pa.array(real)).dictionary_encode()
+    tokens, n_tokens = np.unique(text[real] * max(len(flat.dictionary), 1) + flat.indices.to_numpy(), return_counts=True)
+    g, t = max(len(own), 1), max(len(flat.dictionary), 1)
+    return [*names, *(w + x for x in flat.dictionary.to_pylist())], np.r_[grams // g, tokens // t], np.r_[grams % g, len(own) + tokens % t], np.r_[n_grams, n_tokens]
 
 
 def place(feature: str, dim: int) -> tuple[int, int]:
@@ -51,32 +84,29 @@ def place(feature: str, dim: int) -> tuple[int, int]:
 def document_frequencies(rows: DataFrame) -> DataFrame:
     """(f, df) of rows(normal)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["f", "df"])
-
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.update(counts(t).keys())
-                if len(held) > HELD:
-                    yield flush()
-                    held.clear()
-        yield flush()
+            texts = batch.column(0).to_pylist()
+            for a, z in slices(texts):
+                names, _, feature, _ = counted(texts[a:z])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.bincount(feature, minlength=len(names)))], ["f", "df"])
 
     return rows.select("normal").mapInArrow(run, "f string, df long").groupBy("f").agg(F.sum("df").alias("df"))
 
 
-def _vectors(batches: Iterator[pa.RecordBatch], dim: int, weigh) -> Iterator[pa.RecordBatch]:
+def _vectors(batches: Iterator[pa.RecordBatch], dim: int, prefixed: bool, weigh) -> Iterator[pa.RecordBatch]:
+    """weigh is places(features), each one's bucket and signed weight, and damp(n), what a count makes of it."""
+    places, damp = weigh
     for batch in batches:
-        buckets, weights = [], []
-        for t in batch.column(1).to_pylist():
-            at, w = weigh(t)
-            v = np.bincount(at, w, dim) if len(at) else np.zeros(dim)
+        texts = batch.column(1).to_pylist()
+        for a, z in slices(texts):
+            names, text, feature, n = counted(texts[a:z], prefixed)
+            bucket, weight = places(names)
+            v = np.bincount(text * dim + bucket[feature], damp(n) * weight[feature], (z - a) * dim) if len(text) else np.zeros((z - a) * dim)
             own = np.flatnonzero(v)
-            buckets.append(own.astype(np.int32))
-            weights.append(v[own] / math.sqrt(float(v[own] @ v[own])) if len(own) else v[own])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], ["id", "buckets", "weights"])
+            size = np.sqrt(np.bincount(own // dim, v[own] ** 2, z - a))
+            ends = pa.array(np.r_[0, np.cumsum(np.bincount(own // dim, minlength=z - a))].astype(np.int32))
+            held = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((own % dim).astype(np.int32), v[own] / size[own // dim])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), *held], ["id", "buckets", "weights"])
 
 
 def weighted_vectors(rows: DataFrame, idf: DataFrame, n: int, dim: int) -> DataFrame:
@@ -91,18 +121,15 @@ def weighted_vectors(rows: DataFrame, idf: DataFrame, n: int, dim: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_of, bucket, weight = shared.value
 
-        def weigh(t: str | None) -> tuple[np.ndarray, np.ndarray]:
-            own = counts(t)
-            at = np.fromiter((at_of.get(f, -1) for f in own), np.int64, len(own))
-            tf = 1.0 + np.log(np.fromiter(own.values(), np.float64, len(own)))
-            rare = at < 0
-            b, w = bucket[at], tf * weight[at]
-            if rare.any():
-                places = [place(f, dim) for f, r in zip(own, rare, strict=True) if r]
-                b[rare], w[rare] = [p[0] for p in places], tf[rare] * once * np.array([p[1] for p in places], np.float64)
+        def places(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            at = np.fromiter((at_of.get(f, -1) for f in names), np.int64, len(names))
+            b, w = bucket[at], weight[at]
+            for i in np.flatnonzero(at < 0):
+                b[i], sign = place(names[i], dim)
+                w[i] = once * sign
             return b, w
 
-        yield from _vectors(batches, dim, weigh)
+        yield from _vectors(batches, dim, True, (places, lambda n: 1.0 + np.log(n)))
 
     return rows.select("id", "normal").mapInArrow(run, VECTOR)
 
@@ -112,17 +139,16 @@ def hashing_vectors(rows: DataFrame, dim: int = 512) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, int]] = {}
 
-        def weigh(t: str | None) -> tuple[np.ndarray, np.ndarray]:
-            own = counts(t, prefixed=False)
+        def places(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
             if len(known) > VOCABULARY:
                 known.clear()
-            for f in own:
+            for f in names:
                 if f not in known:
                     known[f] = place(f, dim)
-            at = np.array([known[f] for f in own], np.int64).reshape(-1, 2)
-            return at[:, 0], at[:, 1] * np.fromiter(own.values(), np.float64, len(own))
+            at = np.array([known[f] for f in names], np.int64).reshape(-1, 2)
+            return at[:, 0], at[:, 1].astype(np.float64)
 
-        yield from _vectors(batches, dim, weigh)
+        yield from _vectors(batches, dim, False, (places, lambda n: n.astype(np.float64)))
 
     return rows.select("id", "normal").mapInArrow(run, VECTOR)
 
@@ -131,9 +157,10 @@ def joined_vectors(rows: DataFrame, idf: DataFrame, unseen: float, dim: int) ->
     """weighted_vectors() by a join with the vocabulary: of queries, which may have features that no document has, and for large ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [counts(t) for t in batch.column(1).to_pylist()]
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own])))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([f for x in own for f in x], pa.string()), pa.array([n for x in own for n in x.values()], pa.int64())], ["id", "f", "tf"])
+            texts = batch.column(1).to_pylist()
+            for a, z in slices(texts):
+                names, text, feature, n = counted(texts[a:z])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + text)), pa.array(names, pa.string()).take(pa.array(feature)), pa.array(n)], ["id", "f", "tf"])
 
     tf = rows.select("id", "normal").mapInArrow(run, "id string, f string, tf long").join(idf.select("f", "idf"), "f", "left")
     w = (1.0 + F.log("tf")) * F.coalesce("idf", F.lit(unseen)) * X.sign(F.col("f"))
