@@ -54,23 +54,30 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x @ c.T - 0.5 * (c * c).sum(1)).argmax(1)
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Norms of rows, never 0: a vector far smaller than the largest may vanish in single precision."""
+    return np.maximum(np.linalg.norm(x, axis=1), np.finfo(f32).tiny)
+
+
 class Quantiser:
     """Coarse centroids and codewords (subspace, 16, 2) of vectors of an even size (odd ones are padded)."""
 
-    def __init__(self, x: np.ndarray, clusters: int, threshold: float = 0.2, rounds: int = 4, seed: int = 5):
+    def __init__(self, x: np.ndarray, clusters: int, threshold: float = 0.2, rounds: int = 4, seed: int = 5, scale: float = 1.0):
         rng = np.random.default_rng(seed)
+        self.scale = scale
         x = self.padded(x)
         self.eta = max(1.0, (x.shape[1] - 1) * threshold**2 / (1 - threshold**2))
         self.coarse = kmeans(x, clusters, 10, rng)
         t = x - self.coarse[nearest(x, self.coarse)]
-        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        u = x / lengths(x)[:, None]
         m = x.shape[1] // 2
         self.words = np.stack([kmeans(t[:, 2 * i : 2 * i + 2], 16, 6, rng) for i in range(m)]).astype(f32)
         for _ in range(rounds):
             self.refit(t, u, self.assign(t, u))
 
-    @staticmethod
-    def padded(x: np.ndarray) -> np.ndarray:
+    def padded(self, x: np.ndarray) -> np.ndarray:
+        """In single precision, scaled to its range; codes and bounds are of these."""
+        x = x * self.scale if self.scale != 1.0 else x
         return np.ascontiguousarray(np.pad(x, ((0, 0), (0, x.shape[1] % 2)) if x.shape[1] % 2 else 0), f32)
 
     def assign(self, t: np.ndarray, u: np.ndarray, sweeps: int = 2) -> np.ndarray:
@@ -114,7 +121,7 @@ class Quantiser:
         """(cluster, codes packed in pairs to bytes); an odd number of subspaces is padded with a code that scores 0."""
         x = self.padded(x)
         own = nearest(x, self.coarse)
-        codes = self.assign(x - self.coarse[own], x / np.linalg.norm(x, axis=1, keepdims=True))
+        codes = self.assign(x - self.coarse[own], x / lengths(x)[:, None])
         codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
         return own, (codes[:, ::2] * 16 + codes[:, 1::2]).astype(np.uint8)
 
@@ -208,7 +215,7 @@ class Reach:
 
     def __init__(self, x: np.ndarray, coded: np.ndarray, coarse: np.ndarray):
         x, coded = x.astype(np.float64), coded.astype(np.float64)
-        self.norm = np.linalg.norm(x, axis=1)
+        self.norm = lengths(x)
         error = x - coded
         along = (error * x).sum(1) / self.norm
         self.whole = np.linalg.norm(error, axis=1)
@@ -276,7 +283,7 @@ def _search(model: Quantiser, size: int, k: int, rerank: int):
                 exact[np.take_along_axis(s, top, 1) == -np.inf] = -np.inf
                 kth = np.partition(exact, exact.shape[1] - k, 1)[:, exact.shape[1] - k] if exact.shape[1] >= k else np.full(len(s), -np.inf)
                 for i, t in enumerate(kth.tolist()):
-                    own = reach.rows(s[i], float(np.linalg.norm(wide[i])), t)
+                    own = reach.rows(s[i], float(np.linalg.norm(wide[i])) * model.scale, t * model.scale**2)
                     e = np.einsum("rd,d->r", x[own].astype(np.float64), wide[i])
                     best = np.lexsort((ids[own], -e))[:k]
                     found.append((np.full(len(best), at + i), ids[own[best]], e[best]))
@@ -304,23 +311,24 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, rerank: int = 400, sha
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size = sizes.d
-    own = numbered(own).where(F.col("vec_id").isNotNull() & valid(F.col("v"), size)).select("_rid", "vec_id", F.col("v").cast("array<float>").alias("v"))
-    n, asked = own.agg(F.count("*"), F.coalesce(F.sum((F.col("vec_id") % every == 0).cast("long")), F.lit(0))).first()
+    kind = "float" if dict(own.dtypes)["v"] == "array<float>" else "double"  # products are those of the vectors as they are
+    own = numbered(own).where(F.col("vec_id").isNotNull() & valid(F.col("v"), size)).select("_rid", "vec_id", F.col("v").cast(f"array<{kind}>").alias("v"))
+    n, asked, peak = own.agg(F.count("*"), F.coalesce(F.sum((F.col("vec_id") % every == 0).cast("long")), F.lit(0)), F.max(F.array_max(F.transform("v", lambda c: F.abs(c))))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     clusters = min(4096, max(1, round(math.sqrt(n))))
     taken = first_by_hash(own, "vec_id", sample, "_rid").select("v").toArrow()
     x = vectors(taken.column(0).combine_chunks(), size)
-    model = Quantiser(x, clusters)
+    model = Quantiser(x, clusters, scale=1.0 if 2.0**-30 <= peak <= 2.0**30 else 2.0 ** -math.frexp(peak)[1])
     many = probes_needed(model, x, k, share)
-    index = checkpoint(own.mapInArrow(_index(model, size), "_rid long, vec_id long, v array<float>, cluster long, codes binary"))
+    index = checkpoint(own.mapInArrow(_index(model, size), f"_rid long, vec_id long, v array<{kind}>, cluster long, codes binary"))
     blocks = np.ones(clusters, np.int64)
     for c, m in index.groupBy("cluster").count().collect():
         blocks[c] = -(-m // BLOCK)
     parts = max(1, math.ceil(n / PART))
     copies = max(1, math.ceil(asked * min(1.0, many * blocks.mean() / parts) / QUERIES))
-    dealt = index.mapInArrow(_deal(blocks, parts, copies), "part long, g long, _rid long, vec_id long, v array<float>, cluster long, codes binary")
-    routed = own.where(F.col("vec_id") % every == 0).mapInArrow(_route(model, size, blocks, parts, copies, many), "part long, g long, q_rid long, query_id long, q array<float>, clusters array<long>")
+    dealt = index.mapInArrow(_deal(blocks, parts, copies), f"part long, g long, _rid long, vec_id long, v array<{kind}>, cluster long, codes binary")
+    routed = own.where(F.col("vec_id") % every == 0).mapInArrow(_route(model, size, blocks, parts, copies, many), f"part long, g long, q_rid long, query_id long, q array<{kind}>, clusters array<long>")
     found = dealt.groupBy("part", "g").cogroup(routed.groupBy("part", "g")).applyInArrow(_search(model, size, k, rerank), "q_rid long, query_id long, vec_id long, score double")
     best = Window.partitionBy("q_rid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -270,3 +270,23 @@ def test_colliding_surrogates_are_told(spark):
     d = spark.createDataFrame([(1, "a", [e("111", "9-9 9"), e("222", "888")]), (2, "b", [e("333", "999")]), (3, "c", [e("222", "888"), e("m John", "Karl", "person"), e("f Ann", "karl", "person")]), (4, None, [])], f"doc_id long, text string, entities {kind}")
     assert {r.doc_id: r.n_collisions for r in pii.checked(d).collect()} == {1: 1, 2: 1, 3: 2, 4: 0}
     assert {r.n_collisions for r in pii.digest(d.where("doc_id = 4")).collect()} == {0}
+
+
+def test_doubles_keep_their_products_and_their_order(spark):
+    """Vectors that single precision can't tell apart, or can't hold, come in the order of their double products."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 16))
+    x[100:160] = x[100] * (1 + np.arange(60)[:, None] * 1e-11)
+    for scale in (1.0, 1e150, 1e-150):
+        y = x * scale
+        d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.search(d).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        for q in range(0, 300, 20):
+            s = y @ y[q]
+            best = sorted((i for i in range(300) if i != q), key=lambda i: (-sum(a * b for a, b in zip(y[i], y[q], strict=True)), i))[:20]
+            mine = [i for _, i, _ in sorted(got[q])]
+            assert all(p == pytest.approx(s[i], rel=1e-12) for _, i, p in got[q])
+            assert [p for *_, p in sorted(got[q])] == sorted((p for *_, p in got[q]), reverse=True)
+            assert len(set(mine) & set(best)) >= 18 and (q != 100 or mine[:19] == best[:19])
