@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, numbered, small
+from .common import apart, checkpoint, numbered, small
 from .wordhash import ALNUM, grams, slices, utf8, words
 
 BLOCK_BYTES = 4 << 20
@@ -229,8 +229,9 @@ def digest(matched: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated rows, as match_benchmark() and digest() have them."""
-    docs = numbered(docs)
-    matched = match_benchmark(docs.drop("_rid"), benchmark, **options)
+    """docs without the contaminated rows, as match_benchmark() and digest() have them. Columns of any names pass through."""
+    safe, back = apart(docs, {"doc_id": "doc_id", "text": "text"})
+    rows = numbered(safe)
+    matched = match_benchmark(rows.drop("_rid"), benchmark, **options)
     gone, _ = small(checkpoint(matched.where(is_contaminated()).select("_rid")))
-    return docs.join(gone, "_rid", "left_anti").drop("_rid")
+    return rows.join(gone, "_rid", "left_anti").select(*back)

@@ -157,3 +157,12 @@ def test_packing_is_an_exact_round_trip(spark):
 def test_cuts_add_up(n):
     out = packing.cuts(n, 2048)
     assert sum(out) == n and all(0 < x <= 2048 for x in out)
+
+
+def test_columns_named_like_the_operators_own_pass_through(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    d = spark.createDataFrame([(1, text, 7, 8), (2, text, 9, 10), (3, "other words here", 11, 12)], "doc_id long, text string, _rid long, comp long")
+    assert sorted(tuple(r) for r in jaccard_join.one_of_each(d).collect()) == [(1, text, 7, 8), (3, "other words here", 11, 12)]
+    bench = spark.createDataFrame([("b", " ".join(f"w{i}" for i in range(13)))], "item_id string, text string")
+    kept = decontaminate.decontaminate(d, bench)
+    assert kept.columns == d.columns and [tuple(r) for r in kept.collect()] == [(3, "other words here", 11, 12)]
