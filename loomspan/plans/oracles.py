@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from ..functions import citations as C
 from ..functions import text as X
+from ..operators.lectures import OUTLINE
+from ..sources.corpus import CITATION
 
 STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -251,3 +253,30 @@ every AS (SELECT *, count(*) OVER w AS parts, sum(n) OVER w AS passages FROM eac
 SELECT source_id, part, parts::INT AS parts, source_id || CASE WHEN parts > 1 THEN printf('.part%02d', part + 1) ELSE '' END AS file,
   coalesce(title, source_id) || CASE WHEN parts > 1 THEN printf(' (part %d/%d)', part + 1, parts) ELSE '' END AS label, n, bytes, passages::BIGINT AS passages
 FROM every LEFT JOIN registry USING (source_id)"""
+
+_quote = lambda t: "'" + t.replace("'", "''") + "'"
+_PLAN = ", ".join(f"({i}, {', '.join(map(_quote, x))})" for i, x in enumerate(OUTLINE, 1))
+_MARK = f"length('> ' || trim(text) || E'\\n>\\n> — **' || {REFERENCE} || '** (' || confidence || ')' || E'\\n')"
+ORACLES["lecture_outline"] = f"""WITH {sims()}, {LECTURE}, plan(no, title, kind, note_with, note_without) AS (VALUES {_PLAN}),
+e AS (SELECT query_id, section AS title, string_agg(id || '|' || {REFERENCE} || '|' || confidence, chr(10) ORDER BY rank) AS evidence, sum({_MARK} + 1)::BIGINT - 1 AS chars
+  FROM ls JOIN corpus USING (id) GROUP BY 1, 2),
+fs AS (SELECT query_id, source_id, {_ORDER} AS o, rank, ls.id FROM ls JOIN corpus USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, source_id ORDER BY o, rank, ls.id) = 1),
+r AS (SELECT query_id, string_agg('- ' || source_id, chr(10) ORDER BY o, rank, id, source_id) AS sources FROM fs GROUP BY 1),
+s AS (SELECT asks.id AS query_id, no, plan.title, CASE WHEN kind = 'reading' THEN coalesce(sources, '') ELSE '' END AS body, coalesce(evidence, '') AS evidence, chars,
+    CASE WHEN kind = 'reading' AND sources IS NOT NULL THEN '' WHEN evidence IS NOT NULL THEN note_with ELSE note_without END AS note
+  FROM asks CROSS JOIN plan LEFT JOIN e ON e.query_id = asks.id AND e.title = plan.title LEFT JOIN r ON r.query_id = asks.id)
+SELECT query_id, no::INT AS no, title, body, evidence, md5(note) AS note,
+  (length(title) + 4 + CASE WHEN body <> '' THEN length(body) + 2 ELSE 0 END + coalesce(chars + 1, 0) + CASE WHEN note <> '' THEN length('_[Lecturer note: ]_') + length(note) + 2 ELSE 0 END)::INT AS n_markdown
+FROM s"""
+_HAS = {"source_id": "source_id", "evidence_type": "evidence_type", "surah": "surah", "ayah": "ayah", "volume": "volume", "page": "page", "hadith_number": "hadith_number", "chapter": "chapter"}
+_CITE = "{" + ", ".join(f"'{n}': {_HAS.get(n, 'NULL')}" for n in CITATION.names) + "}"
+ORACLES["answer_records"] = f"""WITH {CORPUS}, t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+asked AS (SELECT conv_id, arg_min(text, turn) AS question FROM t WHERE role = 'user' GROUP BY 1),
+cl AS (SELECT t.conv_id, t.turn, c.id IS NOT NULL AND ({COMPLETE}) AND {RANK} >= 2 AS fact,
+    {{'statement': t.text, 'evidence_type': evidence_type, 'confidence': coalesce(confidence, 'unverified'), 'view_status': NULL::VARCHAR,
+      'citations': CASE WHEN c.id IS NULL THEN [] ELSE [{_CITE}] END, 'asserted_as_fact': coalesce(c.id IS NOT NULL AND ({COMPLETE}) AND {RANK} >= 2, FALSE)}} AS claim
+  FROM t LEFT JOIN corpus c ON c.id = 'doc_' || (t.conv_id * 7 + t.turn) WHERE t.role = 'assistant'),
+held AS (SELECT conv_id, list(claim ORDER BY turn) AS claims, count(*) AS n_claims, count(*) FILTER (fact) AS n_facts FROM cl GROUP BY 1)
+SELECT conv_id, md5(to_json({{'question': question, 'sub_questions': []::VARCHAR[], 'query_language': {LANG}, 'answer_language': NULL::VARCHAR, 'refined_query': NULL::VARCHAR, 'summary': NULL::VARCHAR,
+  'generated_on': NULL::VARCHAR, 'claims': claims, 'caveats': []::VARCHAR[]}})::VARCHAR) AS digest, n_claims, n_facts
+FROM (SELECT *, question AS text, length(regexp_replace(question, '[^A-Za-z]', '', 'g')) AS l, length(question) - length(regexp_replace(question, '{X.ARABIC_SCRIPT}', '', 'g')) AS a FROM asked) JOIN held USING (conv_id)"""

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import citations as C
 from ..functions import text as X
 from ..functions.citations import bonus
-from ..operators import answers, corpus_ops, evaluation, export, features, grounding, narrators, retrieval
+from ..operators import answers, corpus_ops, evaluation, export, features, grounding, lectures, narrators, retrieval
+from ..sources import records
 from ..sources.corpus import bind, registry, source_number, table
 from ..sources.files import html_text
 from ..storage import shared_folder
@@ -144,6 +145,15 @@ def lecture_sections(spark, sf_dir):
     return _six(retrieval.lecture_sections(_sims(spark, sf_dir, 200, _by_type(spark, sf_dir)), bind(spark, sf_dir)))
 
 
+def lecture_outline(spark, sf_dir):
+    """The twelve sections of a lecture on each benchmark text."""
+    corpus = bind(spark, sf_dir)
+    found = retrieval.lecture_sections(_sims(spark, sf_dir, 200, _by_type(spark, sf_dir)), corpus)
+    rows = lectures.outline(_asks(spark, sf_dir).select(F.col("id").alias("query_id")), found, corpus.withColumn("reference", C.reference(F.col)))
+    cited = F.array_join(F.transform("evidence", lambda e: F.concat_ws("|", e["id"], e["reference"], e["confidence"])), "\n")
+    return rows.select("query_id", "no", "title", "body", cited.alias("evidence"), F.md5("note").alias("note"), F.length(lectures.section_markdown()).alias("n_markdown"))
+
+
 def lecture_pool(spark, sf_dir):
     return _six(retrieval.lecture_pool(retrieval.lecture_sections(_sims(spark, sf_dir, 200, _by_type(spark, sf_dir)), bind(spark, sf_dir))))
 
@@ -236,6 +246,36 @@ def answer_report(spark, sf_dir):
     return grounding.answer_report(grounding.best_overlaps(*_turns(spark, sf_dir)), cited.select("answer_id", "claim_no", "confidence"), cited.select("answer_id", "claim_no", "cid"), _checks(spark, sf_dir))
 
 
+def answer_records(spark, sf_dir):
+    """Conversations as answers in JSON: what was asked first, each assistant's turn as a claim with the passage it cites. The record is read again."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    asked = turns.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    cid = F.concat(F.lit("doc_"), (F.col("conv_id") * 7 + F.col("turn")).cast("string"))
+    corpus = bind(spark, sf_dir)
+    fields = [c for c in records.CITATION.names if c in corpus.columns]
+    cited = corpus.select(F.col("id").alias("cid"), "confidence", "evidence_type", F.struct(*fields).alias("citation"), C.as_fact(F.col).alias("fact"))
+    none = F.array().cast(f"array<{dict(cited.dtypes)['citation']}>")
+    claims = turns.where("role = 'assistant'").withColumn("cid", cid).join(cited, "cid", "left").select("conv_id", "turn", F.struct(
+        F.col("text").alias("statement"), "evidence_type", F.coalesce("confidence", F.lit("unverified")).alias("confidence"), F.lit(None).cast("string").alias("view_status"),
+        F.when(F.col("citation").isNotNull(), F.array("citation")).otherwise(none).alias("citations"), F.coalesce("fact", F.lit(False)).alias("asserted_as_fact")).alias("claim"))
+    held = claims.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "claim"))), lambda x: x["claim"]).alias("claims"))
+    text, no_list = F.lit(None).cast("string"), F.array().cast("array<string>")
+    whole = asked.join(held, "conv_id").select("conv_id", records.to_json(F.struct(
+        "question", no_list.alias("sub_questions"), X.detect_language(F.col("question")).alias("query_language"), text.alias("answer_language"), text.alias("refined_query"), text.alias("summary"), text.alias("generated_on"),
+        claims_as(F.col("claims")).alias("claims"), no_list.alias("caveats"))).alias("value"))
+    again = records.read_answers(whole.withColumn("digest", F.md5("value")), place="conv_id")
+    return again.select("conv_id", "digest", F.size("claims").cast("long").alias("n_claims"), F.size(F.filter("claims", lambda c: c["asserted_as_fact"])).cast("long").alias("n_facts"))
+
+
+def claims_as(claims):
+    """Claims whose citations have some fields, as claims whose citations have all."""
+    full = lambda c: F.struct(*[(c[f.name] if f.name in _CITED else F.lit(None)).cast(f.dataType).alias(f.name) for f in records.CITATION])
+    return F.transform(claims, lambda x: x.withField("citations", F.transform(x["citations"], full)))
+
+
+_CITED = ("source_id", "evidence_type", "surah", "ayah", "volume", "page", "hadith_number", "chapter")
+
+
 def citation_accuracy(spark, sf_dir):
     return _six(evaluation.citation_accuracy(_claim_citations(spark, sf_dir).select("answer_id", "cid"), _checks(spark, sf_dir)))
 
@@ -427,7 +467,7 @@ def trusted_volumes(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     normalize_text, token_counts, char_trigram_counts, feature_hash_buckets, idf_table, tfidf_topk, hashing_topk, dense_topk, confidence_rerank, retrieve_filtered_compat, retrieve_filtered_exact,
-    consensus_by_source, compare_sources, multi_part_merge, extractive_answers, question_parts, lecture_sections, lecture_pool, crossref_links_all, citation_completeness, reference_string, unknown_sources, passage_exists, validate_citations,
-    source_coverage, claim_overlap, content_overlap, answer_grounding, judge_claims, answer_report, citation_accuracy, evaluate, reading_list, hallucination_rate, verify_markers, verify_synthesis, detect_language, language_mix, dedupe_documents, near_duplicate_keys,
+    consensus_by_source, compare_sources, multi_part_merge, extractive_answers, question_parts, lecture_sections, lecture_outline, lecture_pool, crossref_links_all, citation_completeness, reference_string, unknown_sources, passage_exists, validate_citations,
+    source_coverage, claim_overlap, content_overlap, answer_grounding, judge_claims, answer_report, answer_records, citation_accuracy, evaluate, reading_list, hallucination_rate, verify_markers, verify_synthesis, detect_language, language_mix, dedupe_documents, near_duplicate_keys,
     chunk_text, facets, source_types, top_narrators, narrator_lookup, narrator_profile, grade_summary, source_score, review_queue, manifest_status, iteration_deltas, gold_metrics, mrr, export_parts, export_index,
     page_text, isolated_numbers, increasing_refs, page_fill, trusted_volumes)}
