@@ -129,15 +129,40 @@ def test_footnoted_volumes(spark):
     assert [r.id for r in again] == ["g-v2-ch4-h7"]
 
 
-def test_chaptered_and_sectioned_volumes(spark):
+LONG = "a narration of sufficient length to be kept by the rule, and a little more. "
+
+
+def test_chaptered_volumes(spark):
     header = r"Causes\s+Volume\s+(\d+)\s+Page\s+(\d+)"
-    long = "a narration of sufficient length to be kept by the rule, and a little more. "
-    d = pages(spark, "V 1 P 2.pdf", f"Causes Volume 1 Page 1\n{long * 2}\nCHAPTER 3 – Why\nHadith 1\n{long * 2}", f"Hadith 2\n{long}\n{long}\nCHAPTER 4: Whole\n{long * 2}\nHadith", "short")
+    d = pages(spark, "V 1 P 2.pdf", f"Causes Volume 1 Page 1\n{LONG * 2}\nCHAPTER 3 – Why\nHadith 1\n{LONG * 2}", f"Hadith 2\n{LONG}\n{LONG}\nقال الصادق عليه السلام\nCHAPTER 4: Whole\n{LONG * 2}\nHadith", "short")
     got = {r.id: r for r in A.chaptered_volumes(d, "c", "T", header).collect()}
-    assert set(got) == {"c-v1-pre-0", "c-v1-ch3-h1", "c-v1-ch3-h2", "c-v1-ch4-0"} and got["c-v1-ch3-h2"].citation.chapter == "Ch 3 — Why"
-    s = pages(spark, "ws7.pdf", f"Means Vol. 1, Section 2\nHadith 5\n{long}", f"{long}\n12\nHadith 6\n{long}", f"Means Vol. 1, Section 3\nHadith 6\nagain {long}\nHadith 7\n{long}")
-    rows = A.sectioned_volumes(s, "w", "T", r"Means Vol\.?\s*(\d+)\s*,\s*Section\s*(\d+)").collect()
-    assert [(r.id, r.citation.chapter) for r in rows] == [("w-v1-h5", "Section 2"), ("w-v1-h6", "Section 2"), ("w-v1-h7", "Section 3")] and "again" not in rows[1].text
+    assert set(got) == {"c-v1-p2-0", "c-v1-ch3-h1", "c-v1-ch3-h2", "c-v1-ch4"}
+    assert got["c-v1-ch3-h2"].citation.chapter == "Ch 3 — Why" and got["c-v1-ch3-h2"].citation.arabic_text == "قال الصادق عليه السلام" and got["c-v1-ch3-h2"].citation.hadith_number == "2"
+    assert {r.citation.page for r in got.values()} == {"2"} and {r.citation.volume for r in got.values()} == {"1"} and got["c-v1-p2-0"].citation.chapter is None
+    assert got["c-v1-ch4"].text.endswith("Hadith") and got["c-v1-ch4"].language == "en"
+
+
+def test_chapters_over_pages_and_long_ones_in_pieces(spark):
+    header = r"Causes\s+Volume\s+(\d+)\s+Page\s+(\d+)"
+    d = pages(spark, "V 2.pdf", f"Causes Volume 7 Page 5\nCHAPTER 9 -\nA Broken Title\nHadith 1\nbegins here {LONG}", f"Causes Volume 7 Page 6\nand ends here {LONG}\nHadith 1\nagain {LONG}\nHadith 2\nfew",
+              f"Causes Volume 7 Page 8\nCHAPTER 10 — Long\nقال الامام كلاما طويلا\n{LONG * 30}\nCHAPTER 11 — None\n")
+    rows = A.chaptered_volumes(d, "c", "T", header).collect()
+    assert [r.id for r in rows] == ["c-v7-ch9-h1", "c-v7-ch10-0", "c-v7-ch10-1"]
+    first, a, b = rows
+    assert first.text.startswith("begins here") and "and ends here" in first.text and "again" not in first.text and first.citation.chapter == "Ch 9 — A Broken Title" and first.citation.page == "8"
+    whole = (LONG * 30).strip()
+    assert a.text == whole[:1500] and b.text == whole[1350:] and a.citation.arabic_text == "قال الامام كلاما طويلا" and b.citation.arabic_text is None and b.citation.translation == b.text
+    assert A.chaptered_volumes(d.limit(0), "c", "T", header).count() == 0
+
+
+def test_sectioned_volumes(spark):
+    header = r"Means Vol\.?\s*(\d+)\s*,\s*Section\s*(\d+)"
+    s = pages(spark, "ws7.pdf", f"Means Vol. 1, Section 2\nHadith 5\n{LONG}", f"{LONG}\n12\nHadith 6\n{LONG}", f"Means Vol. 1, Section 3\nno number yet\nHadith 6\nagain {LONG}\nHadith 10\n{LONG}\nHadith 9\n{LONG}")
+    rows = A.sectioned_volumes(s, "w", "T", header).collect()
+    assert [(r.id, r.citation.chapter) for r in rows] == [("w-v1-h5", "Section 2"), ("w-v1-h6", "Section 2"), ("w-v1-h9", "Section 3"), ("w-v1-h10", "Section 3")] and "again" not in rows[1].text
+    assert rows[0].text.count("a narration") == 2 and "no number yet" not in rows[1].text and "12" not in rows[0].text
+    plain = A.sectioned_volumes(pages(spark, "x/ws7_eng.pdf", f"Hadith 1\n{LONG}", f"Means Vol. 8, Section 1\nHadith 1\n{LONG}"), "w", "T", header).collect()
+    assert [(r.id, r.citation.chapter) for r in plain] == [("w-v7-h1", None), ("w-v8-h1", "Section 1")]
 
 
 def test_arabic_volumes_turn_numbers_and_refuse_disorder(spark):
