@@ -141,6 +141,12 @@ def test_chains_and_grades(spark):
     assert [spark.range(1).select(C.grade_confidence(F.array(*map(F.lit, x)).cast("array<string>"))).first()[0] for x in (["sahih", "daif"], ["sahih"], [])] == ["low", "high", "medium"]
 
 
+def test_keys_of_names(spark):
+    names = [("Muhammad Ibn Yahya", "muhammad bin yahya"), ("Ahmad b.Ali b. Zayd", "ahmad binali b zayd"), ("Al-Hasan,  al  Rida", "al hasan al rida"), ("Ja‘far<sup>as</sup> `Abd", "ja'far 'abd"), ("Ibn'Umar 7_x ab.c", "bin'umar x ab c"), ("", ""), (None, ""), ("ibnibn thibn", "ibnibn thibn")]
+    d = spark.createDataFrame(names, "name string, key string").select("key", C.name_key(F.col("name")).alias("got"))
+    assert all(r.got == r.key for r in d.collect())
+
+
 def test_grounding_of_marked_sentences(spark):
     passages = ["the rope holds firm against storms", "rivers carry silt towards deltas"]
     text = "According to the evidence all is well. The rope holds firm. [1] Rivers carry silt [2]. Dragons guard golden mountains nearby. Rope storms firm [2]. See [3]."
