@@ -437,8 +437,8 @@ def export_parts(spark, sf_dir):
 def export_index(spark, sf_dir):
     """The files that an export of at most 100 kB a file would write."""
     docs = bind(spark, sf_dir)
-    text = docs.withColumn("value", F.concat(export.passage(docs), F.lit("\n\n"))).select("source_id", "surah", "ayah", "id", "value")
-    return export.index(export.in_parts(text, F.octet_length("value"), 100_000), registry(spark, sf_dir))
+    sizes = docs.select("source_id", "surah", "ayah", "id", (F.octet_length(export.passage(docs)) + 2).alias("size"))  # an index needs no texts
+    return export.index(export.in_parts(sizes, F.col("size"), 100_000), registry(spark, sf_dir))
 
 
 def page_text(spark, sf_dir):
