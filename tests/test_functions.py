@@ -201,3 +201,19 @@ def test_ordering_rules(spark):
     parts = export.export_parts(spark.createDataFrame([("s", "x" * 6, None, None, c) for c in "abc"] + [("t", "y" * 30, 1, 1, "d")], "source_id string, text string, surah int, ayah int, id string"), 13)
     assert sorted(tuple(r) for r in parts.collect()) == [("s", 0, 2, 12), ("s", 1, 1, 6), ("t", 0, 1, 30)]
     assert spark.range(1).select(corpus_ops.id_numbers(F.lit("a-v10-h2"))).first()[0] == [10, 2]
+
+
+def test_shortcuts_of_normalisation_and_languages_equal_the_whole_rules(spark):
+    import random
+
+    r = random.Random(3)
+    signs = "ab Z \t\n\x1c\x85\u00a0\u2003\u00e9\u0301\u0640\u064b\u06d6\u08e5\u0fff\u0622\u0629\u06a9\u06f3\u0663\u0679\u067e\ufb51\u0000-9"
+    texts = [None, "", " ", "  ", "a", " a  b ", "\u0660", "\u0fff", *("".join(r.choices(signs[: r.choice((6, 9, 14, 99))], k=r.randint(0, 25))) for _ in range(400))]
+    t = F.col("t")
+    old = F.translate(X.strip_tashkeel(F.regexp_replace(X.strip_tatweel(X.recompose(t, "NFC")), X.ANNOTATION, "")), X.FOLD_FROM, X.FOLD_TO)
+    old = F.lower(F.regexp_replace(F.regexp_replace(old, f"{X.SPACE}+", " "), "^ | $", ""))
+    latin, arabic = F.regexp_count(t, F.lit("[A-Za-z]")), F.regexp_count(t, F.lit(X.ARABIC_SCRIPT))
+    lang = F.when(t.isNull() | (latin + arabic == 0), "unknown").when(latin >= arabic, "en").when(t.rlike(f"[{X.URDU}]"), "ur").when(t.rlike(f"[{X.PERSIANATE}]"), "fa").otherwise("ar")
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select(X.search_form(t), old, X.detect_language(t), lang).collect()
+    assert all(a == b and c == d for a, b, c, d in rows) and len({r[2] for r in rows}) == 5
+    assert spark.range(1).select(F.lit(X.FOLD_FROM + X.TATWEEL).rlike(f"^{X.FOLDED}+$")).first()[0]
