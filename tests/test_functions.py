@@ -217,3 +217,10 @@ def test_shortcuts_of_normalisation_and_languages_equal_the_whole_rules(spark):
     rows = spark.createDataFrame([(x,) for x in texts], "t string").select(X.search_form(t), old, X.detect_language(t), lang).collect()
     assert all(a == b and c == d for a, b, c, d in rows) and len({r[2] for r in rows}) == 5
     assert spark.range(1).select(F.lit(X.FOLD_FROM + X.TATWEEL).rlike(f"^{X.FOLDED}+$")).first()[0]
+
+
+def test_feature_hash_buckets_makes_no_row_an_occurrence(spark):
+    from loomspan.plans.queries import QUERIES
+
+    plan = QUERIES["feature_hash_buckets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
